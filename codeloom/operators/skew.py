@@ -1,0 +1,59 @@
+"""Joins and groupings that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it has more than max(HOT_MIN_ROWS, all rows / HOT_MAX_KEYS) rows.
+# By that rule there are never more than HOT_MAX_KEYS hot keys, whatever the data
+# size, which is the proof that the hot-key table may be broadcast.
+HOT_MAX_KEYS = 10_000
+HOT_MIN_ROWS = 1_000_000
+
+
+def hot_keys(keys: DataFrame, on: list[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Rows ``(*on, _salts)``: the hot keys of ``keys`` and how many slices each one needs.
+
+    The count is map-side combined, so a hot key costs one row per map task.
+    """
+    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
+    limit = F.greatest(F.lit(float(min_rows)), F.coalesce(total, F.lit(0)) / F.lit(float(HOT_MAX_KEYS)))
+    return counts.filter(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+
+
+def hot_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    spread: list[str],
+    how: str = "left",
+    keys: DataFrame | None = None,
+    min_rows: int | None = None,
+) -> DataFrame:
+    """Many-to-one join of ``left`` to ``right`` (unique on ``on``) with hot keys sliced.
+
+    A hot key's left rows are spread over ``_salts`` slices by a hash of ``spread``
+    (deterministic, so a retried task places every row as before) and only the right
+    rows of hot keys are repeated, at most about twice HOT_MAX_KEYS copies in total.
+    ``keys`` may name a cheaper frame to count from; counting too high is harmless.
+    """
+    counted = (keys if keys is not None else left).select(*on)
+    hot = F.broadcast(hot_keys(counted, on, HOT_MIN_ROWS if min_rows is None else min_rows))
+    slices = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), slices).cast("int")).drop("_salts")
+    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def group_parts(df: DataFrame, on: list[str], weight: Column, limit: int, piece: Column, spread: list[str]) -> DataFrame:
+    """Add ``part``: '' while the whole group weighs at most ``limit``, else the row's own ``piece``.
+
+    Grouping by ``(*on, part)`` then folds small groups into one row and leaves the
+    pieces of a big group apart, so no group is ever gathered beyond ``limit``.
+    """
+    weighed = df.withColumn("_w", weight)
+    totals = weighed.groupBy(*on).agg(F.sum("_w").alias("_total"))
+    joined = hot_join(weighed, totals, on, spread)
+    return joined.withColumn("part", F.when(F.col("_total") <= limit, F.lit("")).otherwise(piece)).drop("_w", "_total")
