@@ -113,3 +113,45 @@ def star_facts(spark: SparkSession, sf_dir: str) -> Facts:
                  kind_id = 3 AS is_const FROM decls WHERE kind_id >= 3"""),
         use_ref=sql("SELECT project, pkg_path, file_path, pos, kind, target_pkg, target_name, fq_name, ext_type, ext_value, ext_is_const FROM uses"),
     )
+
+
+def _joined(df: DataFrame, keys: list[str], order: list[str], text: str, sep: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), sep).alias("body"))
+
+
+def star_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_files``: the star facts written out as Go text, one row per file."""
+    decls = star_sql(spark, sf_dir, """
+      SELECT project, pkg_name, file_path, pos * 10 AS ord, '// ' || comment_txt || '\\n' || CASE kind_id
+          WHEN 0 THEN 'type ' || name || ' struct {\\n\\tBrand string\\n\\tSize  int\\n}'
+          WHEN 1 THEN 'type ' || name || ' interface {\\n\\tDo(x int) error\\n}'
+          WHEN 2 THEN 'func ' || name || '(a, b int, s string) (int, error) {\\n\\treturn a + b, nil\\n}'
+          WHEN 3 THEN 'const ' || name || ' = ' || size_txt
+          ELSE 'var ' || name || ' = "' || p_brand || '"' END AS text FROM decls""")
+    meths = star_sql(spark, sf_dir, """
+      SELECT m.project, m.pkg_name, m.file_path,
+             CASE WHEN m.file_path = m.struct_file THEN d.pos * 10 + 1 + m.i ELSE m.pos END AS ord,
+             '// ' || m.comment_txt || '\\nfunc (p *' || m.recv_type || ') ' || m.name || CASE WHEN m.i = 1 THEN '(n int)' ELSE '()' END
+               || ' string {\\n\\treturn "{"\\n}' AS text
+      FROM meths m JOIN decls d ON d.k = m.k""")
+    uses = star_sql(spark, sf_dir, """
+      SELECT project, pkg_name, file_path, c_custkey, target_pkg, pos AS ord, '\\t' || CASE kind
+          WHEN 'type' THEN 'var _ ' || alias || '.' || target_name
+          WHEN 'call' THEN alias || '.' || target_name || '(1, 2, "a.b")'
+          ELSE '_ = ' || alias || '.' || target_name END AS text FROM uses""")
+    file = ["project", "pkg_name", "file_path"]
+    owners = _joined(decls.unionByName(meths), file, ["ord"], "text", "\n\n")
+    lines = uses.groupBy(*file, "c_custkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set("target_pkg")), lambda p: F.concat(F.lit('\t"'), p, F.lit('"'))), "\n").alias("imports"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), "\n").alias("lines"),
+    )
+    consumers = lines.select(*file, F.concat(
+        F.lit("import (\n"), "imports", F.lit("\n)\n\nfunc C"), F.col("c_custkey").cast("string"), F.lit("() {\n"), "lines", F.lit("\n}"),
+    ).alias("body"))
+    every = owners.unionByName(consumers)
+    return every.select(
+        "project", F.concat(F.lit("example.com/"), "project").alias("module_path"),
+        F.substring(F.col("file_path"), F.length(F.concat(F.lit("/corpus/"), "project")) + 2, F.length("file_path")).alias("rel_path"),
+        "file_path", F.concat(F.lit("package "), "pkg_name", F.lit("\n\n"), "body", F.lit("\n")).alias("content"),
+    )
