@@ -12,6 +12,8 @@ need fact input or an ``external_symbols`` table.  Unknown stays '' or null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,11 +255,19 @@ def settle_kinds(refs: DataFrame, facts: Facts, external_symbols: DataFrame | No
     return normalise(settled.filter(~F.coalesce(uncalled, F.lit(False))).withColumn("kind", F.coalesce("_is", "kind")), "use_ref")
 
 
-def facts_from_parsed(parsed: DataFrame, external_symbols: DataFrame | None = None, strict: bool = False) -> Facts:
-    named = with_aliases(parsed)
-    bare = Facts(
-        go_file=go_files(named), decl_func=functions(named), decl_struct=struct_methods(structs(named), methods(named), strict),
-        decl_iface=interfaces(named), decl_global=globals_(named), use_ref=foreign_names(named),
-    )
-    tables = {n: getattr(bare, n) for n in Facts.NAMES}
-    return Facts.from_tables(**{**tables, "use_ref": settle_kinds(bare.use_ref, bare, external_symbols)})
+def facts_from_parsed(
+    parsed: DataFrame,
+    external_symbols: DataFrame | None = None,
+    strict: bool = False,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> Facts:
+    """Fact tables of parsed rows.  ``keep`` may write each table as it is made, so that
+    later steps start from stored rows instead of repeating the extraction."""
+    named = keep("named", with_aliases(parsed))
+    tables = {
+        "go_file": go_files(named), "decl_func": functions(named), "decl_struct": struct_methods(structs(named), methods(named), strict),
+        "decl_iface": interfaces(named), "decl_global": globals_(named),
+    }
+    kept = {name: keep(name, df) for name, df in tables.items()}
+    refs = foreign_names(named)
+    return Facts(**kept, use_ref=keep("use_ref", settle_kinds(refs, Facts(**kept, use_ref=refs), external_symbols)))

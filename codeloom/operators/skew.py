@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 HOT_MAX_KEYS = 10_000
 HOT_MIN_ROWS = 1_000_000
 
+# Up to this many bytes below a join's left side no key of it can be too large for a
+# task, and the counting pass is saved.  A source of unknown size counts as large.
+SMALL_SCAN_BYTES = 256 * 1024 * 1024
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of all tables that ``df`` reads, by the catalog's own statistics."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    nodes = (leaves.apply(i) for i in range(leaves.size()))
+    # A reference to a common table expression is a leaf too; its definition is counted where it stands.
+    return sum(int(str(n.stats().sizeInBytes())) for n in nodes if n.nodeName() != "CTERelationRef")
+
 
 def hot_keys(keys: DataFrame, on: list[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Rows ``(*on, _salts)``: the hot keys of ``keys`` and how many slices each one needs.
@@ -34,11 +46,15 @@ def hot_join(
 ) -> DataFrame:
     """Many-to-one join of ``left`` to ``right`` (unique on ``on``) with hot keys sliced.
 
+    Over small sources this is the plain join.  Beyond, or with ``min_rows`` given:
+
     A hot key's left rows are spread over ``_salts`` slices by a hash of ``spread``
     (deterministic, so a retried task places every row as before) and only the right
     rows of hot keys are repeated, at most about twice HOT_MAX_KEYS copies in total.
     ``keys`` may name a cheaper frame to count from; counting too high is harmless.
     """
+    if min_rows is None and scan_bytes(left) <= SMALL_SCAN_BYTES:
+        return left.join(right, on, how)
     counted = (keys if keys is not None else left).select(*on)
     hot = F.broadcast(hot_keys(counted, on, HOT_MIN_ROWS if min_rows is None else min_rows))
     slices = F.coalesce(F.col("_salts"), F.lit(1))

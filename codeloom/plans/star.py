@@ -7,17 +7,19 @@ engines run unchanged.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.structs import struct_methods
 from codeloom.schemas import Facts
 
-STAR_CTES = """
-pkgs AS (
+STAR: dict[str, str] = {
+    "pkgs": """
   SELECT n_nationkey AS nk, 'r' || CAST(n_regionkey AS varchar(20)) AS project, lower(n_name) AS pkg_name,
-         'example.com/r' || CAST(n_regionkey AS varchar(20)) || '/' || lower(n_name) AS pkg_path FROM nation),
-decls AS (
+         'example.com/r' || CAST(n_regionkey AS varchar(20)) || '/' || lower(n_name) AS pkg_path FROM nation""",
+    "decls": """
   SELECT p.project, p.nk, p.pkg_path, p.pkg_name, p_partkey AS k,
          '/corpus/' || p.project || '/' || p.pkg_name || '/defs_'
            || CAST(CAST(floor(p_partkey / 500) AS bigint) AS varchar(20)) || '.go' AS file_path,
@@ -27,17 +29,19 @@ decls AS (
          p.pkg_path || '.P' || CAST(p_partkey AS varchar(20)) AS fq_name,
          'P' || CAST(p_partkey AS varchar(20)) || ' is ' || p_name || '.' AS comment_txt,
          CAST(p_size AS varchar(20)) AS size_txt, p_brand
-  FROM part JOIN pkgs p ON p.nk = p_partkey % 25),
-steps AS (SELECT 0 AS i UNION ALL SELECT 1 AS i UNION ALL SELECT 2 AS i),
-meths AS (
+  FROM part JOIN pkgs p ON p.nk = p_partkey % 25""",
+    "steps": """
+  SELECT 0 AS r, 0 AS i UNION ALL SELECT 1 AS r, 0 AS i UNION ALL SELECT 1 AS r, 1 AS i
+  UNION ALL SELECT 2 AS r, 0 AS i UNION ALL SELECT 2 AS r, 1 AS i UNION ALL SELECT 2 AS r, 2 AS i""",
+    "meths": """
   SELECT d.project, d.pkg_path, d.pkg_name, d.k, d.name AS recv_type, d.fq_name AS struct_name, s.i,
          d.file_path AS struct_file, d.k * 3 + s.i AS pos,
          CASE WHEN s.i = 1 THEN '/corpus/' || d.project || '/' || d.pkg_name || '/methods_'
            || CAST(CAST(floor(d.k / 500) AS bigint) AS varchar(20)) || '.go' ELSE d.file_path END AS file_path,
          'M' || CAST(s.i AS varchar(20)) AS name,
          'M' || CAST(s.i AS varchar(20)) || ' of ' || d.name || '.' AS comment_txt
-  FROM decls d JOIN steps s ON s.i <= d.k % 3 WHERE d.kind_id = 0),
-uses AS (
+  FROM decls d JOIN steps s ON s.r = d.k % 3 WHERE d.kind_id = 0""",
+    "uses": """
   SELECT f.project, f.pkg_path, f.pkg_name, c_custkey,
          '/corpus/' || f.project || '/' || f.pkg_name || '/c' || CAST(c_custkey AS varchar(20)) || '.go' AS file_path,
          l_orderkey * 10 + l_linenumber AS pos, d.kind_id,
@@ -49,30 +53,52 @@ uses AS (
          CASE WHEN d.kind_id = 3 THEN d.size_txt END AS ext_value,
          CASE WHEN d.kind_id = 3 THEN true WHEN d.kind_id = 4 THEN false END AS ext_is_const
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
-  JOIN pkgs f ON f.nk = c_nationkey JOIN decls d ON d.k = l_partkey WHERE d.nk <> f.nk),
-all_uses AS (
+  JOIN pkgs f ON f.nk = c_nationkey JOIN decls d ON d.k = l_partkey WHERE d.nk <> f.nk""",
+    "all_uses": """
   SELECT f.project, f.pkg_path, c_custkey,
          '/corpus/' || f.project || '/' || f.pkg_name || '/c' || CAST(c_custkey AS varchar(20)) || '.go' AS file_path,
          l_orderkey * 10 + l_linenumber AS pos, d.pkg_path AS target_pkg, d.name AS target_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
-  JOIN pkgs f ON f.nk = c_nationkey JOIN decls d ON d.k = l_partkey),
-requests AS (
+  JOIN pkgs f ON f.nk = c_nationkey JOIN decls d ON d.k = l_partkey""",
+    "requests": """
   SELECT o_orderkey AS request_id,
          CASE WHEN o_orderkey % 51 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN '/nowhere'
               ELSE '/corpus/' || f.project || '/' || f.pkg_name END AS project_path,
          CASE WHEN o_orderkey % 52 = 0 THEN NULL WHEN o_orderkey % 50 = 0 THEN 'missing.go'
               ELSE 'c' || CAST(o_custkey AS varchar(20)) || '.go' END AS file_path
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN pkgs f ON f.nk = c_nationkey)
-"""
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN pkgs f ON f.nk = c_nationkey""",
+}
+
+STAR_CTES = ",\n".join(f"{name} AS ({text})" for name, text in STAR.items())
+
+# Columns used of each table; a given schema spares the reader a job per table.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int",
+}
+
 
-TABLES = ("nation", "part", "orders", "lineitem", "customer", "supplier", "region")
+def _mentioned(names, text: str) -> list[str]:
+    words = set(re.findall(r"\w+", text))
+    return [name for name in names if name in words]
 
 
 def star_sql(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
-    """Run ``select`` over the definitions above; Catalyst drops those it does not use."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(f"WITH {STAR_CTES} {select}")
+    """Run ``select`` over the definitions above, with only those it needs."""
+    text, needed = select, []
+    # Definitions only look upwards, so one pass from the last to the first finds all of them.
+    for name in reversed(STAR):
+        if _mentioned([name], text):
+            needed.insert(0, name)
+            text += STAR[name]
+    for name in _mentioned(TABLES, text):
+        spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    ctes = ", ".join(f"{name} AS ({STAR[name]})" for name in needed)
+    return spark.sql(f"WITH {ctes} {select}" if needed else select)
 
 
 def star_methods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ _SELECTS: dict[str, str] = {
         FROM headers h LEFT JOIN local_text l ON l.project = h.project AND l.file_path = h.file_path
         LEFT JOIN (SELECT DISTINCT project, file_path, '  Function: C' || CAST(c_custkey AS varchar) || chr(10) || '    Signature: ()' || chr(10) AS fn FROM uses) c
           ON c.project = h.project AND c.file_path = h.file_path
-        LEFT JOIN (SELECT project, file_path, string_agg('  Var: _ ' || fq_name || chr(10), '' ORDER BY pos, target_name) AS gvs FROM uses WHERE kind = 'type' GROUP BY project, file_path) g
+        LEFT JOIN (SELECT project, file_path, string_agg('  Var: _ ' || fq_name || chr(10), '' ORDER BY pos, alias || '.' || target_name) AS gvs FROM uses WHERE kind = 'type' GROUP BY project, file_path) g
           ON g.project = h.project AND g.file_path = h.file_path
         LEFT JOIN (SELECT p.project, p.file_path, 'Used Items From Other Packages:' || chr(10) || string_agg(
             CASE WHEN p.section = 7 AND NOT p.resolved THEN '  Var: ' || p.fq_name || ' ' || chr(10) ELSE p.text END, '' ORDER BY p.section, r.ord, p.fq_name) AS text

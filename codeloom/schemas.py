@@ -43,14 +43,14 @@ _NULLABLE = {"ext_type", "ext_value", "ext_is_const", "project", "pkg_path", "fi
 
 def normalise(df: DataFrame, table: str) -> DataFrame:
     """Cast to the contract and turn nulls into ''/empty arrays/false at the table edge."""
-    cols: list[Column] = []
+    exprs = []
     for name, kind in TABLES[table].items():
-        col = (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+        value = f"cast({name if name in df.columns else 'null'} as {kind})"
         if name not in _NULLABLE:
-            empty = F.array() if kind.startswith("array") else F.lit(False) if kind == "boolean" else F.lit("")
-            col = F.coalesce(col, empty.cast(kind))
-        cols.append(col.alias(name))
-    return df.select(*cols)
+            empty = f"cast(array() as {kind})" if kind.startswith("array") else "false" if kind == "boolean" else "''"
+            value = f"coalesce({value}, {empty})"
+        exprs.append(f"{value} as {name}")
+    return df.selectExpr(*exprs)
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.schemas import FILE_KEY, Facts
+from codeloom.schemas import FILE_KEY, TABLES, Facts
 
 FINGERPRINT = [*FILE_KEY, "content_hash"]
 
@@ -32,10 +33,15 @@ def removed_files(current: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; it must be set (tests set their own)."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``.
+
+    Only a session that runs all in this process may do without the setting.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="codeloom-")
     return f"{root.rstrip('/')}/codeloom-{uuid.uuid4().hex}"
 
 
@@ -67,7 +73,8 @@ def materialise_index(facts: Facts, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str, project: str | None = None) -> Facts:
     def load(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        columns = {**TABLES[name], "bucket": "int"}
+        df = spark.read.schema(", ".join(f"{c} {kind}" for c, kind in columns.items())).parquet(f"{path.rstrip('/')}/{name}")
         if project is not None:
             df = df.filter((F.col("bucket") == _bucket(F.lit(project))) & (F.col("project") == project))
         return df.drop("bucket")
