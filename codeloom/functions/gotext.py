@@ -106,13 +106,16 @@ def default_alias(path: Column) -> Column:
     return F.regexp_replace(last, r"\.v[0-9]+$", "")
 
 
-def import_map(found: Column) -> Column:
-    """Name used in the file → import path; blank and dot imports name nothing."""
+def import_pairs(found: Column) -> Column:
+    """``array<struct<k, v>>`` of the name used in the file and the import path; blank and dot imports name nothing."""
     named = F.filter(found, lambda i: ~i["alias"].isin("_", "."))
-    pairs = F.transform(named, lambda i: F.struct(F.when(i["alias"] != "", i["alias"]).otherwise(default_alias(i["path"])).alias("k"), i["path"].alias("v")))
-    # A later import of the same name replaces an earlier one, as map keys must be unique.
-    last = F.filter(pairs, lambda p, n: ~F.exists(F.slice(pairs, n + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return F.transform(named, lambda i: F.struct(F.when(i["alias"] != "", i["alias"]).otherwise(default_alias(i["path"])).alias("k"), i["path"].alias("v")))
+
+
+def import_map(pairs: str) -> Column:
+    """Map of a pair column; a later import of the same name replaces an earlier one."""
+    names = F.array_distinct(F.col(f"{pairs}.k"))
+    return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
 
 
 _DOC = r"(?:^[ \t]*+//[^\n]*+\n|^[ \t]*+/\*[^\n]*+\n)++"

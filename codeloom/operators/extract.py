@@ -59,7 +59,8 @@ def with_aliases(parsed: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(written, F.try_element_at("_names", i["path"]), F.lit("")).alias("alias"), i["path"].alias("path"))
 
     settled = joined.withColumn("imports", F.transform("imports", settle)).drop("_names")
-    return settled.withColumn("aliases", G.import_map(F.col("imports")))
+    # Pairs are a column of their own, so that the lambda below does not compute them again for each name.
+    return settled.withColumn("_pairs", G.import_pairs(F.col("imports"))).withColumn("aliases", G.import_map("_pairs")).drop("_pairs")
 
 
 def go_files(parsed: DataFrame) -> DataFrame:

@@ -141,9 +141,15 @@ def star_facts(spark: SparkSession, sf_dir: str) -> Facts:
     )
 
 
+def by_file(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Place rows by file in a fixed number of partitions: the exchange that the grouping
+    needs anyway, but not merged for being small, as extraction is heavy per byte."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _joined(df: DataFrame, keys: list[str], order: list[str], text: str, sep: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), sep).alias("body"))
+    return by_file(df, keys).groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), sep).alias("body"))
 
 
 def star_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +174,7 @@ def star_source(spark: SparkSession, sf_dir: str) -> DataFrame:
           ELSE '_ = ' || alias || '.' || target_name END AS text FROM uses""")
     file = ["project", "pkg_name", "file_path"]
     owners = _joined(decls.unionByName(meths), file, ["ord"], "text", "\n\n")
-    lines = uses.groupBy(*file, "c_custkey").agg(
+    lines = by_file(uses, file).groupBy(*file, "c_custkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set("target_pkg")), lambda p: F.concat(F.lit('\t"'), p, F.lit('"'))), "\n").alias("imports"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), "\n").alias("lines"),
     )

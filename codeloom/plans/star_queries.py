@@ -39,7 +39,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_aliases(parsed(spark, sf_dir))
+    # Written once: names are settled across files, so the rows are read several times.
+    return X.with_aliases(index_store.written(parsed(spark, sf_dir)))
 
 
 def symbol_map(spark, sf):
