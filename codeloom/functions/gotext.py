@@ -278,7 +278,7 @@ def type_param_names(brackets: Column) -> Column:
 
 # Reference: what stands before it, qualifier, selector, and what follows.
 _REF = r"(?m)(?:^[\t ]++|\b\w++[ \t]++|[*\])][ \t]?+)?+(?<![\w.])[A-Za-z_]\w*+\.[A-Za-z_]\w*+(?:\(|\{|[ \t]*+$)?+"
-_STATEMENT = "^(?:return|case|range|go|defer|if|else|switch|in|for|package|import|select)\\b"
+_STATEMENT = "^(?:return|case|range|go|defer|if|else|switch|for|package|import|select)\\b"
 
 
 def qualified_refs(code: Column) -> Column:

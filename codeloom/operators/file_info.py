@@ -96,7 +96,7 @@ def facts_of(file_info: DataFrame) -> tuple[Facts, DataFrame]:
 
     def given(field: str, section: int, order: Column, text) -> DataFrame:
         rows = file_info.select(*FILE_KEY, F.posexplode(f"info.{field}").alias("pos", "d"))
-        return rows.select(*FILE_KEY, F.lit(section).alias("section"), order.cast("bigint").alias("ord"), F.col("d.Name").alias("fq_name"), text(F.col("d")).alias("text"))
+        return rows.select(*FILE_KEY, F.lit(section).alias("section"), order.cast("bigint").alias("ord"), F.col("d.Name").alias("fq_name"), text(F.col("d")).alias("text"), F.col("pos").cast("bigint").alias("at"))
 
     done = given("UsedImportedFunctions", S.USED_FUNCTIONS, F.col("pos"), R.format_function).unionByName(
         given("UsedImportedGlobalVars", S.USED_GLOBALS, F.lit(0), R.format_global)
@@ -109,5 +109,5 @@ def compose_file_info(file_info: DataFrame) -> DataFrame:
     facts, done = facts_of(file_info)
     used = facts.use_ref.select(*FILE_KEY, "fq_name").distinct()
     found = S.resolve_used_types(used, S.type_symbols(S.symbol_rows(facts)))
-    types = found.select(*FILE_KEY, F.lit(S.USED_TYPES).alias("section"), F.lit(0).cast("bigint").alias("ord"), "fq_name", "text")
+    types = found.select(*FILE_KEY, F.lit(S.USED_TYPES).alias("section"), F.lit(0).cast("bigint").alias("ord"), "fq_name", "text", F.lit(0).cast("bigint").alias("at"))
     return compose_items(local_items(facts).unionByName(used_items(types.unionByName(done))))

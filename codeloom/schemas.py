@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.skew import hot_join
+
 STRINGS = "array<string>"
 FIELDS = "array<struct<Name:string,Type:string>>"
 METHODS = "array<struct<Name:string,Comment:string,Parameters:array<string>,ReturnTypes:array<string>>>"
@@ -73,11 +75,8 @@ class Facts:
     def only_files(self, wanted: DataFrame) -> "Facts":
         """Keep the rows of the wanted files; declarations stay whole, as any of them may be looked up."""
         keys = wanted.select(*FILE_KEY).distinct()
-
-        def keep(df: DataFrame) -> DataFrame:
-            return df.join(keys, FILE_KEY, "left_semi")
-
-        return replace(self, go_file=keep(self.go_file), use_ref=keep(self.use_ref))
+        refs = hot_join(self.use_ref, keys, FILE_KEY, ["pos"], how="left_semi")
+        return replace(self, go_file=self.go_file.join(keys, FILE_KEY, "left_semi"), use_ref=refs)
 
 
 def func_struct(name: str = "name") -> Column:

@@ -7,10 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "codeloom") -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "codeloom", checkpoint_dir: str | None = None) -> SparkSession:
     cpus = cpus or os.cpu_count() or 8
+    builder = SparkSession.builder.config("spark.checkpoint.dir", checkpoint_dir) if checkpoint_dir else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")

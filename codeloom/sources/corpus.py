@@ -68,10 +68,9 @@ def with_package_path(files: DataFrame, modules: DataFrame | None = None) -> Dat
     dirs = placed.select("_dir").distinct()
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    nearest = (
-        dirs.select("_dir", F.explode(above).alias("module_dir")).join(modules, "module_dir")
-        .groupBy("_dir").agg(F.max_by(F.struct("module_dir", "module_path"), F.length("module_dir")).alias("_m"))
-    )
+    # Every folder names the topmost ones, so those are hot keys.
+    under = hot_join(dirs.select("_dir", F.explode(above).alias("module_dir")), modules, ["module_dir"], ["_dir"], how="inner")
+    nearest = under.groupBy("_dir").agg(F.max_by(F.struct("module_dir", "module_path"), F.length("module_dir")).alias("_m"))
     inner = F.substring(F.col("_dir"), F.length("_m.module_dir") + 2, F.length("_dir"))
     path = F.when(inner == "", F.col("_m.module_path")).otherwise(F.concat_ws("/", "_m.module_path", inner))
     joined = hot_join(placed, nearest, ["_dir"], ["file_path"], how="inner")

@@ -12,7 +12,7 @@ SOURCE = "project string, module_path string, rel_path string, file_path string,
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "codeloom-tests")
+    session = local_session(4, "codeloom-tests", str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
