@@ -7,9 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "codeloom", checkpoint_dir: str | None = None) -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "codeloom", settings: dict[str, str] | None = None) -> SparkSession:
     cpus = cpus or os.cpu_count() or 8
-    builder = SparkSession.builder.config("spark.checkpoint.dir", checkpoint_dir) if checkpoint_dir else SparkSession.builder
+    builder = SparkSession.builder
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
     return (
         builder.master(f"local[{cpus}]")
         .appName(app)

@@ -12,7 +12,12 @@ SOURCE = "project string, module_path string, rel_path string, file_path string,
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "codeloom-tests", str(tmp_path_factory.mktemp("shared")))
+    session = local_session(8, "codeloom-tests", {
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        # Rows are few and plans are many: compiling each plan would take most of the time.
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    })
     session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -31,9 +36,29 @@ def project(spark, tmp_path):
     return build
 
 
+@pytest.fixture(scope="session")
+def cases(spark, tmp_path_factory):
+    """One index over the files of all cases of test_projects."""
+    from codeloom import extract
+    from test_projects import CASES
+
+    rows = [(case, "example.com/testproject", path, f"/testproject/{path}", text) for case, files in CASES.items() for path, text in files.items()]
+    index = extract(spark.createDataFrame(rows, SOURCE), folder=str(tmp_path_factory.mktemp("cases")))
+    infos, contexts = {}, {}
+    for r in index.file_info().collect():
+        infos.setdefault(r.project, {})[r.file_path.removeprefix("/testproject/")] = r.info.asDict(recursive=True)
+    for r in index.context().collect():
+        contexts.setdefault(r.project, {})[r.file_path.removeprefix("/testproject/")] = r.text
+    return infos, contexts
+
+
 @pytest.fixture()
-def infos(project):
-    def read(files: dict[str, str], **options) -> dict[str, dict]:
+def infos(project, cases):
+    """File information by path: of a named case, or of given files with options."""
+
+    def read(files: dict[str, str] | str, **options) -> dict[str, dict]:
+        if isinstance(files, str):
+            return cases[0][files]
         rows = project(files, **options).file_info().collect()
         return {r.file_path.removeprefix("/testproject/"): r.info.asDict(recursive=True) for r in rows}
 
@@ -41,8 +66,10 @@ def infos(project):
 
 
 @pytest.fixture()
-def contexts(project):
-    def read(files: dict[str, str], **options) -> dict[str, str]:
+def contexts(project, cases):
+    def read(files: dict[str, str] | str, **options) -> dict[str, str]:
+        if isinstance(files, str):
+            return cases[1][files]
         return {r.file_path.removeprefix("/testproject/"): r.text for r in project(files, **options).context().collect()}
 
     return read

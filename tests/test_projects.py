@@ -6,26 +6,7 @@ def names(items):
 
 
 def test_single_file_with_struct_method_and_function(infos):
-    info = infos({"main.go": '''package main
-
-import "fmt"
-
-// Box holds a label.
-type Box struct{
-	Label string
-	Size int
-}
-
-// Show prints the label.
-func (b *Box) Show() string {
-	fmt.Println("x")
-	return b.Label
-}
-
-func main(){
-	_ = Box{}
-}
-'''})["main.go"]
+    info = infos("test_single_file_with_struct_method_and_function")["main.go"]
     assert info["PackageName"] == "main"
     assert info["Imports"] == ["fmt"]
     assert names(info["Functions"]) == ["main"]
@@ -39,21 +20,7 @@ func main(){
 
 
 def test_foreign_struct_as_parameter(infos):
-    out = infos({
-        "pkg1/types.go": "package pkg1\n\n// Data struct\ntype Data struct {\n\tValue string\n}\n",
-        "pkg2/consumer.go": '''package pkg2
-
-import (
-	"fmt"
-	"example.com/testproject/pkg1"
-)
-
-// Process handles data.
-func Process(d pkg1.Data) {
-	fmt.Println(d.Value)
-}
-''',
-    })
+    out = infos("test_foreign_struct_as_parameter")
     assert out["pkg1/types.go"]["Structs"][0]["Name"] == "example.com/testproject/pkg1.Data"
     user = out["pkg2/consumer.go"]
     assert user["Imports"] == ["fmt", "example.com/testproject/pkg1"]
@@ -62,28 +29,13 @@ func Process(d pkg1.Data) {
 
 
 def test_package_clause_only(infos):
-    info = infos({"empty.go": "package empty"})["empty.go"]
+    info = infos("test_package_clause_only")["empty.go"]
     assert info["PackageName"] == "empty"
     assert not any(info[k] for k in info if k != "PackageName")
 
 
 def test_embedded_fields(infos):
-    info = infos({"main.go": '''package main
-
-import "io"
-
-// Both struct
-type Both struct {
-	io.Reader
-	Writer
-	string
-}
-
-// Writer interface
-type Writer interface {
-	Write([]byte) (int, error)
-}
-'''})["main.go"]
+    info = infos("test_embedded_fields")["main.go"]
     assert info["Structs"][0]["Fields"] == [
         {"Name": "Reader", "Type": "io.Reader"}, {"Name": "Writer", "Type": "example.com/testproject.Writer"}, {"Name": "string", "Type": "string"},
     ]
@@ -92,20 +44,7 @@ type Writer interface {
 
 
 def test_interfaces_with_embeds(infos):
-    info = infos({"iface/iface.go": '''package iface
-
-// First line
-// Base does base things.
-type Base interface {
-	Do(x int) error
-}
-
-// Derived adds more.
-type Derived interface {
-	Base
-	More(y string) (int, error)
-}
-'''})["iface/iface.go"]
+    info = infos("test_interfaces_with_embeds")["iface/iface.go"]
     assert info["Interfaces"] == [
         {"Name": "example.com/testproject/iface.Base", "Comment": "First line\nBase does base things.",
          "Methods": [{"Name": "Do", "Comment": "", "Parameters": ["int"], "ReturnTypes": ["error"]}], "Embeddeds": []},
@@ -127,27 +66,7 @@ import (
 
 
 def test_used_struct_text(contexts):
-    out = contexts({
-        "main.go": MAIN % "func main() {\n\tvar _ lib.Thing\n}",
-        "internal/lib/lib.go": '''
-package lib
-
-// Thing is a test struct.
-type Thing struct {
-	ID   int
-	Name string
-}
-
-// Other is only used here.
-type Other struct{
-	Value bool
-}
-
-func (s *Thing) Act() string {
-	return "hello"
-}
-''',
-    })
+    out = contexts("test_used_struct_text")
     assert out["main.go"] == '''--- File: /testproject/main.go ---
 Package: main
 
@@ -175,10 +94,7 @@ Used Items From Other Packages:
 
 
 def test_used_function_text(contexts):
-    out = contexts({
-        "main.go": MAIN % "func main() {\n\tlib.Add(4, 8)\n\tlib.Add(1, 2)\n}",
-        "internal/lib/lib.go": "\npackage lib\n\n// Add adds.\nfunc Add(a, b int) (int, error) {\n\treturn a + b, nil\n}\n",
-    })
+    out = contexts("test_used_function_text")
     assert out["main.go"].endswith('''Used Items From Other Packages:
   Function: example.com/testproject/internal/lib.Add
     Comment: Add adds.
@@ -187,10 +103,7 @@ def test_used_function_text(contexts):
 
 
 def test_used_globals_text(contexts):
-    out = contexts({
-        "main.go": MAIN % "var _, _ = lib.Answer, lib.Word\n\nfunc main() {\n\n}",
-        "internal/lib/lib.go": '\npackage lib\n\n// Answer is a constant.\nconst Answer = 42\n\n// Word is a variable.\nvar Word = "foo"\n',
-    })
+    out = contexts("test_used_globals_text")
     assert '''Used Items From Other Packages:
   Const: example.com/testproject/internal/lib.Answer untyped int = 42
     Comment: Answer is a constant.
@@ -206,27 +119,7 @@ def test_used_globals_text(contexts):
 
 
 def test_used_interface_text(contexts):
-    out = contexts({
-        "main.go": MAIN % "func main() {\n\tvar _ lib.ReadCloser\n}",
-        "internal/lib/lib.go": '''
-package lib
-
-import "io"
-
-// Reader is a test interface.
-type Reader interface {
-	Read(p []byte) (n int, err error)
-}
-
-// ReadCloser embeds another interface.
-type ReadCloser interface {
-	Reader
-	io.Closer
-	// CloseThis closes.
-	CloseThis() error
-}
-''',
-    })
+    out = contexts("test_used_interface_text")
     assert out["main.go"].endswith('''Used Items From Other Packages:
   Interface: example.com/testproject/internal/lib.ReadCloser
     Comment: ReadCloser embeds another interface.
@@ -241,7 +134,7 @@ type ReadCloser interface {
 
 
 def test_init_only_has_no_struct_section(contexts):
-    text = contexts({"main.go": "package main\nfunc init(){}\n"})["main.go"]
+    text = contexts("test_init_only_has_no_struct_section")["main.go"]
     assert "Package: main" in text and "Function: init" in text
     assert "Local Structs:" not in text and "Used Items" not in text
 
@@ -253,18 +146,12 @@ def test_strict_keeps_comments_of_methods_in_other_files(infos):
 
 
 def test_import_named_by_its_package_clause(contexts):
-    out = contexts({
-        "main.go": 'package main\n\nimport "example.com/testproject/go-lib"\n\nfunc main() {\n\tlib.Run()\n}\n',
-        "go-lib/lib.go": "package lib\n\n// Run runs.\nfunc Run() {}\n",
-    })
+    out = contexts("test_import_named_by_its_package_clause")
     assert "  Function: example.com/testproject/go-lib.Run\n" in out["main.go"]
 
 
 def test_typed_global_brings_its_type(contexts):
-    out = contexts({
-        "main.go": 'package main\n\nimport "example.com/testproject/lib"\n\nvar x = lib.Mode\n',
-        "lib/lib.go": "package lib\n\n// Kind is a kind.\ntype Kind struct{}\n\nvar Mode Kind\n",
-    })
+    out = contexts("test_typed_global_brings_its_type")
     assert out["main.go"].endswith('''Used Items From Other Packages:
   Struct: example.com/testproject/lib.Kind
     Comment: Kind is a kind.
@@ -294,10 +181,141 @@ def test_names_do_not_resolve_across_projects(spark, tmp_path):
 
 
 def test_clash_takes_first_function_and_last_struct(contexts):
-    out = contexts({
+    out = contexts("test_clash_takes_first_function_and_last_struct")["main.go"]
+    assert "Comment: second\n" in out and "Comment: first F\n" in out
+    assert "Comment: first\n" not in out and "second F" not in out
+
+
+# Files of the tests above; all of them are indexed in one go, each as a project of its own.
+CASES = {
+    "test_single_file_with_struct_method_and_function": {"main.go": '''package main
+
+import "fmt"
+
+// Box holds a label.
+type Box struct{
+	Label string
+	Size int
+}
+
+// Show prints the label.
+func (b *Box) Show() string {
+	fmt.Println("x")
+	return b.Label
+}
+
+func main(){
+	_ = Box{}
+}
+'''},
+    "test_foreign_struct_as_parameter": {
+        "pkg1/types.go": "package pkg1\n\n// Data struct\ntype Data struct {\n\tValue string\n}\n",
+        "pkg2/consumer.go": '''package pkg2
+
+import (
+	"fmt"
+	"example.com/testproject/pkg1"
+)
+
+// Process handles data.
+func Process(d pkg1.Data) {
+	fmt.Println(d.Value)
+}
+''',
+    },
+    "test_package_clause_only": {"empty.go": "package empty"},
+    "test_embedded_fields": {"main.go": '''package main
+
+import "io"
+
+// Both struct
+type Both struct {
+	io.Reader
+	Writer
+	string
+}
+
+// Writer interface
+type Writer interface {
+	Write([]byte) (int, error)
+}
+'''},
+    "test_interfaces_with_embeds": {"iface/iface.go": '''package iface
+
+// First line
+// Base does base things.
+type Base interface {
+	Do(x int) error
+}
+
+// Derived adds more.
+type Derived interface {
+	Base
+	More(y string) (int, error)
+}
+'''},
+    "test_used_struct_text": {
+        "main.go": MAIN % "func main() {\n\tvar _ lib.Thing\n}",
+        "internal/lib/lib.go": '''
+package lib
+
+// Thing is a test struct.
+type Thing struct {
+	ID   int
+	Name string
+}
+
+// Other is only used here.
+type Other struct{
+	Value bool
+}
+
+func (s *Thing) Act() string {
+	return "hello"
+}
+''',
+    },
+    "test_used_function_text": {
+        "main.go": MAIN % "func main() {\n\tlib.Add(4, 8)\n\tlib.Add(1, 2)\n}",
+        "internal/lib/lib.go": "\npackage lib\n\n// Add adds.\nfunc Add(a, b int) (int, error) {\n\treturn a + b, nil\n}\n",
+    },
+    "test_used_globals_text": {
+        "main.go": MAIN % "var _, _ = lib.Answer, lib.Word\n\nfunc main() {\n\n}",
+        "internal/lib/lib.go": '\npackage lib\n\n// Answer is a constant.\nconst Answer = 42\n\n// Word is a variable.\nvar Word = "foo"\n',
+    },
+    "test_used_interface_text": {
+        "main.go": MAIN % "func main() {\n\tvar _ lib.ReadCloser\n}",
+        "internal/lib/lib.go": '''
+package lib
+
+import "io"
+
+// Reader is a test interface.
+type Reader interface {
+	Read(p []byte) (n int, err error)
+}
+
+// ReadCloser embeds another interface.
+type ReadCloser interface {
+	Reader
+	io.Closer
+	// CloseThis closes.
+	CloseThis() error
+}
+''',
+    },
+    "test_init_only_has_no_struct_section": {"main.go": "package main\nfunc init(){}\n"},
+    "test_import_named_by_its_package_clause": {
+        "main.go": 'package main\n\nimport "example.com/testproject/go-lib"\n\nfunc main() {\n\tlib.Run()\n}\n',
+        "go-lib/lib.go": "package lib\n\n// Run runs.\nfunc Run() {}\n",
+    },
+    "test_typed_global_brings_its_type": {
+        "main.go": 'package main\n\nimport "example.com/testproject/lib"\n\nvar x = lib.Mode\n',
+        "lib/lib.go": "package lib\n\n// Kind is a kind.\ntype Kind struct{}\n\nvar Mode Kind\n",
+    },
+    "test_clash_takes_first_function_and_last_struct": {
         "main.go": 'package main\n\nimport "example.com/testproject/lib"\n\nvar _ lib.T\n\nfunc main() {\n\tlib.F()\n}\n',
         "lib/a.go": "package lib\n\n// first\ntype T struct{}\n\n// first F\nfunc F() {}\n",
         "lib/b.go": "package lib\n\n// second\ntype T struct{}\n\n// second F\nfunc F() {}\n",
-    })["main.go"]
-    assert "Comment: second\n" in out and "Comment: first F\n" in out
-    assert "Comment: first\n" not in out and "second F" not in out
+    },
+}
