@@ -224,7 +224,8 @@ def foreign_names(parsed: DataFrame) -> DataFrame:
     # The filter runs inside the row, before anything is exploded.
     imported = F.filter("refs", lambda r: F.map_contains_key("aliases", r["qualifier"]))
     rows = parsed.select(*HEAD, "aliases", F.inline(imported)).withColumn("target_pkg", F.try_element_at("aliases", F.col("qualifier")))
-    out = rows.filter(F.col("target_pkg") != F.col("pkg_path")).withColumn("target_name", F.col("name"))
+    # The coalesce keeps the optimizer from deriving, and pushing down, a null check that would compute the map twice.
+    out = rows.filter(F.coalesce("target_pkg", F.lit("")) != F.col("pkg_path")).withColumn("target_name", F.col("name"))
     return normalise(out.withColumn("fq_name", F.concat_ws(".", "target_pkg", "target_name")), "use_ref")
 
 
