@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, exact_topk, language_id, lm_scoring, mixing, near_dedup, sentencepieces, token_counts
+from codeloom.llm import exact_dedup, exact_topk, language_id, lm_scoring, mixing, near_dedup, sentencepieces, suffix_dedup, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_language_id, op3_exact_topk, op4_lm_scoring, op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts)
+    for f in (op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup, op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
