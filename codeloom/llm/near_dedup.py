@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.arrays import chunks, lists, lowered, mix, words
-from codeloom.llm.components import connected_components
+from codeloom.llm.linking import colliding, ends, link, similar_size
 from codeloom.llm.store import column, written
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits.  Signatures that differ in at most 2 * CHUNKS - 1 symbols have a chunk
@@ -123,7 +123,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose signatures are within RADIUS and whose sizes allow the similarity."""
     left = nodes.select(F.col("node").alias("u"), F.col("n_shingles").alias("n_u"), F.col("sig").alias("sig_u"))
     right = nodes.select(F.col("node").alias("v"), F.col("n_shingles").alias("n_v"), F.col("sig").alias("sig_v"))
-    sized = pairs.join(right, "v").join(left, "u").filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
+    sized = pairs.join(right, "v").join(left, "u").filter(similar_size("n_u", "n_v", percent))
 
     def run(batches):
         for batch in batches:
@@ -135,7 +135,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(node, s array<long>)`` for ``wanted(node, doc_id)``, from the texts of those documents."""
     texts = docs.join(wanted, "doc_id")
 
@@ -152,7 +152,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("s_v")), "v")
     both = with_v.join(sets.select(F.col("node").alias("u"), F.col("s").alias("s_u")), "u")
@@ -171,39 +171,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(node, root)`` of the nodes with a link, from ``rows(doc_id, node, n_shingles, sig)``.
-
-    1. Of equal sets one node is kept.  Each node has its chunk keys; a key's smallest node is its centre.
-    2. Other nodes of a key are compared with the centre only, so a group of any size costs a pair per node and key.
-    3. In keys whose nodes are not all in one component then, pairs of different components are compared as well.
-       So every pair that shares a key is linked, compared, or already connected: no link between components is lost.
-    """
+    """``(node, root)`` of the nodes with a link, from ``rows(doc_id, node, n_shingles, sig)``; equal sets are one node."""
     nodes = rows.filter("node != 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = written(nodes, "near-nodes")
-    keys = _keys(nodes)
-    centres = keys.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "u")
-    shared = written(keys.join(centres, "key"), "near-keys")
-    stars = shared.filter("u != node").select("u", F.col("node").alias("v")).distinct()
-    near = written(_near(stars, nodes, percent), "near-pairs")
-
-    wanted = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
-    sets = written(_full_sets(docs, nodes.join(wanted, "node").select("node", "doc_id"), width), "near-sets")
-    links = written(_linked(near, sets, percent), "near-links")
-    parts = connected_components(links, "near-stars")
-
-    labelled = shared.select("key", "node").join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = written(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = written(labelled.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node"), "near-mixed")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n_shingles"))) for x in "ab")
-    sizes = (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-    across = a.join(b, "key").filter((F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & sizes)
-    more = across.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(near, ["u", "v"], "left_anti")
-    more = written(_near(more, nodes, percent), "near-pairs")
-    wanted = more.select(F.col("u").alias("node")).unionByName(more.select(F.col("v").alias("node"))).distinct()
-    sets = written(_full_sets(docs, nodes.join(wanted, "node").select("node", "doc_id"), width), "near-sets")
-    links = links.unionByName(_linked(more, sets, percent))
-    return connected_components(links, "near-components").withColumnRenamed("id", "node")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        near = written(_near(pairs, nodes, percent), "near-pairs")
+        sets = written(full_sets(docs, nodes.join(ends(near), "node").select("node", "doc_id"), width), "near-sets")
+        return linked(near, sets, percent)
+
+    return link(colliding(_keys(nodes), "near"), compare, nodes.select("node", F.col("n_shingles").alias("size")), percent, "near")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, exact_topk, language_id, lm_scoring, mixing, near_dedup, sentencepieces, suffix_dedup, token_counts
+from codeloom.llm import exact_dedup, exact_topk, language_id, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup, op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts)
+    for f in (
+        op1_substring_dedup, op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup,
+        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {
