@@ -19,6 +19,8 @@ WIDTH, PERCENT = 5, 80
 BANDS = 4
 #: Paragraphs of fewer words are not looked up; beside removed ones they go along.
 PARAGRAPH = 6
+#: A sentence of fewer words stays with the one behind it.
+SENTENCE = 4
 #: Words that repeated paragraphs standing together must have before they are removed.
 PASSAGE = 30
 _STEP = np.uint64(0x9DDFEA08EB382D69)
@@ -27,7 +29,7 @@ _NO_ID = (1 << 63) - 1
 
 
 class Paragraphs:
-    """The paragraphs of a chunk: stretches of words between line feeds and ends of sentences (. ! ?)."""
+    """The paragraphs of a chunk: stretches of words between line feeds and ends (. ! ?) of sentences that are not short."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         small = lowered(data)
@@ -40,9 +42,16 @@ class Paragraphs:
             return
         stop = np.isin(data[self.ends - 1], np.frombuffer(b".!?", np.uint8))
         feeds = np.concatenate([[0], np.cumsum(data == 10)])
-        new = np.ones(n, bool)
-        new[1:] = stop[:-1] | (self.rows[1:] != self.rows[:-1]) | (feeds[self.starts[1:]] != feeds[self.ends[:-1]])
-        self.first = np.flatnonzero(new)
+        line = np.ones(n, bool)
+        line[1:] = (self.rows[1:] != self.rows[:-1]) | (feeds[self.starts[1:]] != feeds[self.ends[:-1]])
+        sentence = line.copy()
+        sentence[1:] |= stop[:-1]
+        begins = np.flatnonzero(sentence)
+        # Whether a sentence ends a paragraph depends on nothing but itself, so a passage is cut alike wherever it stands.
+        short = np.diff(np.append(begins, n)) < SENTENCE
+        glued = begins[1:][short[:-1]]
+        sentence[glued] = line[glued]
+        self.first = np.flatnonzero(sentence)
         self.last = np.append(self.first[1:], n)
         self.row, self.size = self.rows[self.first], self.last - self.first
         # Words are scrambled with their place in the paragraph, so the sum is a hash of their order.
@@ -190,7 +199,7 @@ def _flag(batches):
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_paragraphs, n_repeated, n_removed, words_removed, removed, classes, kept_text)``, one row per row of ``docs``.
 
-    A paragraph is a stretch of words between line feeds and ends of sentences, compared without regard to A-Z case and white
+    A paragraph is a stretch of words between line feeds and ends of sentences of at least SENTENCE words, compared without regard to A-Z case and white
     space.  Paragraphs are alike if equal, or if their sets of five-word shingles have a Jaccard similarity of at least 0.8;
     components of alike paragraphs are classes.  A paragraph is repeated if an earlier document, or an earlier place in its
     own, has its class; it is removed where repeated ones stand together with at least PASSAGE words.  ``n_repeated`` counts
