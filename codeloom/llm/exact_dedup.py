@@ -101,8 +101,9 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id
 def drop_exact_copies(docs: DataFrame, buckets: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row even where rows repeat text and id."""
     index = DigestIndex.create(docs.sparkSession, buckets=buckets)
-    keyed = docs.select("*", digest(column(docs, "text", "string")).alias("_digest"), F.char_length(F.coalesce(column(docs, "text", "string"), F.lit(""))).cast("long").alias("_points"))
+    text, own = column(docs, "text", "string"), column(docs, "doc_id", "long")
+    keyed = docs.select(F.struct("*").alias("row"), own, digest(text).alias("text_sha256"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("points"))
     index.append(digests(docs))
-    kept = index.table().select(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("n_points").alias("_most"))
-    same = keyed.join(kept, "_digest").filter((F.col("_points") == F.col("_most")) & column(docs, "doc_id", "long").eqNullSafe(F.col("_keep")))
-    return same.dropDuplicates(["_digest"]).select(*docs.columns)
+    same = keyed.join(index.table().select("text_sha256", "keep_id", "n_points"), "text_sha256")
+    same = same.filter((F.col("points") == F.col("n_points")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return same.dropDuplicates(["text_sha256"]).select("row.*")

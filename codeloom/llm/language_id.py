@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codeloom.llm.arrays import Spans, chunks, found, mix, word_spans
 from codeloom.llm.store import column
@@ -243,14 +244,13 @@ PREDICTED = "lang_pred string, score double, entropy double, rejected boolean"
 
 
 def with_language(docs: DataFrame, models: Models | None) -> DataFrame:
-    """``docs`` with ``lang_pred, score, entropy, rejected`` added (the columns of ``docs`` must not have these names).
+    """``(row, lang_pred, score, entropy, rejected)``, row being each row of ``docs`` as a whole, so no names clash.
 
     A text is given the language whose model needs fewest bits per letter.  ``und`` with score 0: null text, text without
     letters, or no model.  ``score`` is the calibrated chance that the label would agree.  Rejected are ``und`` and texts
     that need far more bits than the calibration texts of their language; ties go to the language first by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    at = len(docs.columns)
 
     def run(batches):
         models = shared.value
@@ -261,16 +261,15 @@ def with_language(docs: DataFrame, models: Models | None) -> DataFrame:
                 rows = batch.num_rows
                 new = [pa.array(["und"] * rows), pa.array(np.zeros(rows)), pa.nulls(rows, pa.float64()), pa.array([True] * rows)]
             else:
-                best, entropy, margin, n = _scored(models, pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))
+                best, entropy, margin, n = _scored(models, batch)
                 none = n == 0
                 odd = models.deviation(best, entropy, n) > models.limit
                 lang = np.where(none, "und", np.array(models.langs, object)[best])
                 new = [pa.array(lang.tolist(), pa.string()), pa.array(np.where(none, 0.0, models.calibrated(margin, n))), pa.array(entropy, mask=none), pa.array(none | odd)]
-            names = batch.schema.names[:at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], [*names, "lang_pred", "score", "entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], ["row", "lang_pred", "score", "entropy", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", column(docs, "text", "string").alias("_text")).mapInArrow(run, f"{schema}, {PREDICTED}")
+    rows = docs.select(F.struct("*").alias("row"), column(docs, "text", "string"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(PREDICTED)]))
 
 
 def third(docs: DataFrame):
@@ -282,4 +281,4 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, entropy, rejected)``, one row per row; learns from rows that are not held out."""
     models = train(docs.filter(third(docs) != 1), sample_rows)
     rows = docs.select(column(docs, "doc_id", "long"), (third(docs) == 1).alias("held_out"), column(docs, "text", "string"))
-    return with_language(rows, models).drop("text")
+    return with_language(rows, models).select("row.doc_id", "row.held_out", "lang_pred", "score", "entropy", "rejected")

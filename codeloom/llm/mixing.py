@@ -82,16 +82,17 @@ def source_plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs:
 
 
 def _repeats(docs: DataFrame, seed: str, *options) -> DataFrame:
-    """``docs`` with ``_size``, ``_size_of_source``, ``_target`` and ``_times``."""
+    """``(row, doc_id, source, size, source_size, target, times)``: each row of ``docs`` as a whole and what it is taken."""
     plan = source_plan(docs, seed, *options)
-    plan = plan.select(*(F.col(c).alias(f"_plan_{c}") for c in plan.columns))
     source, size, u, r = _sized(docs, seed)
-    rows = docs.select("*", source.alias("_source"), size.alias("_size"), u.alias("_u"), r.alias("_r"), F.coalesce(column(docs, "doc_id", "long"), F.lit(-(1 << 63))).alias("_id"))
+    own = column(docs, "doc_id", "long")
+    rows = docs.select(F.struct("*").alias("row"), own, source.alias("of"), size.alias("size"), u.alias("u"), r.alias("r"))
     # A plan of few sources is broadcast by its measured size; else the join's large side can be split.
-    joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")))
-    at = F.struct(F.col("_u").alias("u"), F.col("_id").alias("doc_id"), F.col("_size").alias("size"))
-    more = (F.col("_r") < F.col("_plan_cut_r")) | ((F.col("_r") == F.col("_plan_cut_r")) & F.coalesce(at <= F.col("_plan_cut"), F.lit(False)))
-    return joined.withColumn("_times", F.col("_plan_whole") + F.coalesce(more, F.lit(False)).cast("long"))
+    joined = rows.join(plan, F.col("of").eqNullSafe(F.col("source")))
+    at = F.struct("u", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
+    more = (F.col("r") < F.col("cut_r")) | ((F.col("r") == F.col("cut_r")) & F.coalesce(at <= F.col("cut"), F.lit(False)))
+    times = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", times.alias("times"))
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -102,16 +103,13 @@ def mix_sources(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs:
     An empty table gives an empty result.
     """
     rows = _repeats(docs, seed, share, epochs, weights)
-    return rows.select(
-        column(docs, "doc_id", "long"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_plan_source_size").alias("source_size"),
-        F.col("_plan_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"),
-    )
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
-    rows = _repeats(docs, seed, share, epochs, weights).filter("_times > 0")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    rows = _repeats(docs, seed, share, epochs, weights).filter("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 SQL = r"""

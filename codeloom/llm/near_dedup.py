@@ -206,4 +206,5 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; where different texts share an id, one that stays keeps all."""
     answers = near_dedup(docs, width, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter("not _kept").select("_gone")
-    return docs.join(answers, column(docs, "doc_id", "long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), column(docs, "doc_id", "long"))
+    return rows.join(answers, F.col("doc_id") == F.col("_gone"), "left_anti").select("row.*")

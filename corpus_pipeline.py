@@ -17,8 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The models learn from the labelled documents of the stage's own input whose crc32(doc_id) mod 3 is not 1.
     """
     models = language_id.train(docs.filter(language_id.third(docs) != 1))
-    marked = language_id.with_language(docs, models)
-    return marked.filter("not rejected").select(*docs.columns)
+    return language_id.with_language(docs, models).filter("not rejected").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
