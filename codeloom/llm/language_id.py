@@ -14,7 +14,7 @@ from codeloom.llm.arrays import Spans, chunks, found, mix, word_spans
 from codeloom.llm.store import column
 
 #: Labelled documents that the models are fitted on, in all; the same number for each language.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 2000
 ORDER = 4
 #: A fifth of the sample calibrates scores and rejection and is not counted.
 CALIBRATION = 5

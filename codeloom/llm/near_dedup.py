@@ -12,12 +12,13 @@ from codeloom.llm.linking import colliding, ends, link, similar_size
 from codeloom.llm.store import column, written
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits.  Signatures that differ in at most 2 * CHUNKS - 1 symbols have a chunk
-#: with at most one difference, so a chunk's keys are the chunk with each one symbol left out.
-CHUNKS, WIDTH = 12, 5
+#: with at most one difference, so a chunk's keys are the chunk with each one symbol left out.  At similarity 0.8 a chunk has at
+#: most one difference with a chance of 0.655, so a pair is missed with 0.345^12 = 3 in 10^6.
+CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs that meet are compared on full sets unless their signatures differ in more symbols than this: at similarity 0.8
-#: 12 are expected with a deviation of 3.1, so a linked pair beyond it is a matter of one in 10^7.
-RADIUS = 30
+#: 14.4 are expected with a deviation of 3.4, so a linked pair beyond it is a matter of one in 10^7.
+RADIUS = 33
 _SHINGLE = np.uint64(0x9DDFEA08EB382D69)
 _rng = np.random.Generator(np.random.PCG64(6))
 _A = (_rng.integers(0, 1 << 63, SYMBOLS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -72,14 +73,16 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """(row, key): four of five symbols are 64 bits, scrambled together with which chunk and which symbol is left out."""
+    """(row, key): the symbols of a chunk but one, scrambled together with which chunk and which symbol is left out."""
     parts = sig.reshape(len(sig), CHUNKS, WIDTH).astype(np.uint64)
     out = np.empty((len(sig), CHUNKS, WIDTH), np.uint64)
     for left_out in range(WIDTH):
         kept = [i for i in range(WIDTH) if i != left_out]
         key = parts[:, :, kept[0]]
-        for i in kept[1:]:
+        for i in kept[1:4]:
             key = (key << np.uint64(16)) | parts[:, :, i]
+        for i in kept[4:]:
+            key = mix(key) + parts[:, :, i]
         which = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out + 1)) * np.uint64(0x9E3779B97F4A7C15)
         out[:, :, left_out] = mix(key + which)
     return out.reshape(len(sig), -1)
@@ -180,7 +183,10 @@ def near_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
         sets = written(full_sets(docs, nodes.join(ends(near), "node").select("node", "doc_id"), width), "near-sets")
         return linked(near, sets, percent)
 
-    return link(colliding(_keys(nodes), "near"), compare, nodes.select("node", F.col("n_shingles").alias("size")), percent, "near")
+    def sets_of(some: DataFrame) -> DataFrame:
+        return full_sets(docs, nodes.join(some, "node").select("node", "doc_id"), width)
+
+    return link(colliding(_keys(nodes), "near"), compare, sets_of, percent, "near")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -189,7 +195,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Documents with 100 * |A and B| >= percent * |A or B| for their sets of ``width``-word shingles (words between ASCII white
     space, A-Z lower-cased) are linked; a component's id is its smallest doc_id, which stays.  A document without words
     is alone.  A null id is alone too: component null, kept.  Rows that repeat an id and set are equal, all with the same answer.
-    Links are confirmed on full sets, and found with a chance above 1 - 10^-6 each (see CHUNKS).
+    Links are confirmed on full sets; the chance to miss one is at most 3 in 10^6 (see CHUNKS), less for more similar texts.
     """
     texts = docs.select(column(docs, "doc_id", "long"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     rows = written(signed_sets(texts, width), "near-rows")

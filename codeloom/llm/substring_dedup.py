@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.arrays import Spans, chunks, found, lists, lowered, mix, ragged, word_spans
-from codeloom.llm.linking import colliding, ends, link
+from codeloom.llm.linking import colliding, link
 from codeloom.llm.near_dedup import linked
 from codeloom.llm.store import column, written
 
@@ -142,7 +142,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     lows = written(lows, "passage-lows")
     met = written(lows.join(bands.select("node").distinct(), "node").select("node", F.col("low").alias("d")), "passage-met")
     sets = written(_sets(rows, met), "passage-sets")
-    classes = link(bands, lambda pairs: linked(pairs, sets, PERCENT), sets.select("node", F.size("s").alias("size")), PERCENT, "passage")
+    classes = link(bands, lambda pairs: linked(pairs, sets, PERCENT), lambda some: sets.join(some, "node"), PERCENT, "passage")
     rooted = lows.join(classes, "node", "left").filter("low != high or root is not null").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("low").alias("low"))
     told = written(rooted.select("node", "root").join(first, "root"), "passage-classes")

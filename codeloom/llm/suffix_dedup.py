@@ -15,8 +15,8 @@ from codeloom.llm.store import column, written
 
 #: Bytes of a repeat (fixed by the contract), and of the stretch that suffixes are sampled by.
 LENGTH, SAMPLE = 400, 100
-#: Suffixes that one tree is built over.  More of one stretch are told apart by all of their strings instead.
-GROUP = 4096
+#: Different surroundings of one stretch that a tree is built over.  More are told apart by all of their strings instead.
+GROUP = 16384
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, sample: int) -> tuple[np.ndarray, ...]:
@@ -143,47 +143,59 @@ def repeated(places: list[int], firsts: list[int], lasts: list[int], lefts: list
     return out
 
 
-RUNS = "t binary, first int, last int"
+RUNS = "key long, c binary, low int, high int"
 
 
 def _scan(length: int):
     """Rows of one partition, sorted by key, to runs of repeated strings; a group is held one at a time."""
 
     def close(rows: list[tuple]) -> list[tuple]:
-        rows = list({(r[1], r[2]): r for r in rows}.values())
         if len(rows) < 2:
             return []
-        places, firsts, lasts = ([r[c] for r in rows] for c in (2, 3, 4))
-        lefts = [r[5][: r[2] - r[3]][::-1] for r in rows]
-        rights = [r[5][r[2] - r[3] :] for r in rows]
-        found = repeated(places, firsts, lasts, lefts, rights, length)
-        return [(r[1], a, b) for r, runs in zip(rows, found) for a, b in runs]
+        # Each suffix as if its text began with the first string that it answers for.
+        places, lasts = [r[2] for r in rows], [len(r[3]) - length for r in rows]
+        found = repeated(places, [0] * len(rows), lasts, [r[3][: r[2]][::-1] for r in rows], [r[3][r[2] :] for r in rows], length)
+        return [(r[0], r[1], a, b) for r, runs in zip(rows, found) for a, b in runs]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        key, c, a, b = zip(*rows) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(c, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["key", "c", "low", "high"])
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "place", "first", "last", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "c", "at", "bytes"))):
                 if held and held[0][0] != row[0]:
                     out += close(held)
                     held = []
                 held.append(row)
-            yield _runs(out)
-        yield _runs(close(held))
+            yield batch_of(out)
+        yield batch_of(close(held))
 
     return run
 
 
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    t, a, b = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["t", "first", "last"])
+def _strings(length: int):
+    """The hash of each string of the contents of crowded groups."""
+
+    def run(batches):
+        for batch in batches:
+            for key, c, text in zip(*(batch.column(n).to_pylist() for n in ("key", "c", "bytes"))):
+                data = np.frombuffer(text, np.uint8)
+                low = np.arange(len(data) - length + 1)
+                hashes = Spans(data).hashes(low, low + length)
+                n = len(low)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([c] * n, pa.binary()), pa.array(low.astype(np.int32)), pa.array(hashes.view(np.int64))], ["key", "c", "low", "string"])
+
+    return run
 
 
 SUFFIX = "key long, t binary, place int, first int, last int"
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
-    """``(t, first, last)``: the first bytes of strings of ``length`` bytes that stand at another place too.
+    """``(t, runs array<struct<first, last>>)``: where strings of ``length`` bytes begin that stand at another place too.
 
     ``texts(t, text)`` with t naming the text; rows that repeat t are one text.  Places of one text count as different places.
     """
@@ -198,41 +210,41 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, sample: int = SAMPLE,
 
     suffixes = written(texts.mapInArrow(find, SUFFIX), "repeat-suffixes")
     where = F.xxhash64("t", "place")
-    groups = suffixes.groupBy("key").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("key", (F.col("n") > group).alias("hot"))
-    kept = suffixes.join(groups, "key")
-    wanted = kept.groupBy("t").agg(F.collect_set(F.struct("key", "place", "first", "last", "hot")).alias("s"))
+    groups = suffixes.groupBy("key").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a != b").select("key")
+    wanted = suffixes.join(groups, "key").groupBy("t").agg(F.collect_set(F.struct("key", "place", "first", "last")).alias("s"))
     one = texts.groupBy("t").agg(F.first("text").alias("text"))
-    found = one.join(wanted, "t").select("t", "text", *(F.col(f"s.{c}").alias(c) for c in ("key", "place", "first", "last", "hot")))
+    names = ("key", "place", "first", "last")
+    found = one.join(wanted, "t").select("t", "text", *(F.col(f"s.{c}").alias(c) for c in names))
 
     def cut(batches):
         for batch in batches:
-            names = ("key", "place", "first", "last", "hot")
             for i in range(batch.num_rows):
                 text, t = batch.column("text")[i].as_py().encode("utf-8"), batch.column("t")[i].as_py()
-                key, place, first, last, hot = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names)
+                key, place, first, last = (batch.column(c)[i].values.to_numpy() for c in names)
                 for lo in range(0, len(key), 4096):
                     at = slice(lo, lo + 4096)
-                    # A suffix of a crowded group brings the hash of each of its strings, any other its bytes.
-                    parts = [None if h else text[a : b + length] for a, b, h in zip(first[at].tolist(), last[at].tolist(), hot[at].tolist())]
-                    strings: list = [None] * len(parts)
-                    if hot[at].any():
-                        spans = Spans(np.frombuffer(text, np.uint8))
-                        for k in np.flatnonzero(hot[at]):
-                            begin = np.arange(first[at][k], last[at][k] + 1)
-                            strings[k] = spans.hashes(begin, begin + length).view(np.int64)
+                    parts = [text[a : b + length] for a, b in zip(first[at].tolist(), last[at].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at]), pa.array([t] * len(parts), pa.binary()), *(pa.array(x[at]) for x in (place, first, last)), pa.array(parts, pa.binary()), pa.array(strings, pa.list_(pa.int64()))],
-                        ["key", "t", "place", "first", "last", "bytes", "strings"],
+                        [pa.array(key[at]), pa.array([t] * len(parts), pa.binary()), pa.array(first[at]), pa.array(place[at] - first[at]), pa.array(parts, pa.binary())], ["key", "t", "first", "at", "bytes"]
                     )
 
-    cuts = written(found.mapInArrow(cut, SUFFIX + ", bytes binary, strings array<long>"), "repeat-cuts")
-    trees = cuts.filter("strings is null").select("key", "t", "place", "first", "last", "bytes")
-    runs = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(length), RUNS)
-    each = cuts.filter("strings is not null").select("t", "first", F.posexplode("strings").alias("k", "string")).withColumn("first", F.col("first") + F.col("k"))
+    cuts = found.mapInArrow(cut, "key long, t binary, first int, at int, bytes binary")
+    cuts = written(cuts.withColumn("c", F.unhex(F.md5(F.concat("bytes", F.col("at").cast("string").cast("binary"))))), "repeat-cuts")
+    # Equal surroundings are one content, combined before they are shuffled: of a passage in very many texts, or one that
+    # repeats within a text, little is left for a tree.
     place = F.xxhash64("t", "first")
-    twice = each.groupBy("string").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("string")
-    crowded = each.join(twice, "string").select("t", "first", F.col("first").alias("last"))
-    return runs.unionByName(crowded)
+    contents = cuts.groupBy("key", "c").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+    contents = written(contents.withColumn("twice", F.col("a") != F.col("b")).drop("a", "b"), "repeat-contents")
+    counts = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") > group).alias("crowded"))
+    placed = contents.select("key", "c", "at", "bytes").join(counts, "key")
+    runs = placed.filter("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key").mapInArrow(_scan(length), RUNS)
+    each = placed.filter("crowded").select("key", "c", "bytes").mapInArrow(_strings(length), "key long, c binary, low int, string long")
+    shared = each.groupBy("string").agg(F.min(F.xxhash64("c", "low")).alias("a"), F.max(F.xxhash64("c", "low")).alias("b")).filter("a != b").select("string")
+    crowded = each.join(shared, "string").select("key", "c", "low", F.col("low").alias("high"))
+    whole = contents.filter("twice").select("key", "c", F.lit(0).alias("low"), (F.octet_length("bytes") - length).alias("high"))
+    # Runs count from the first string of their content.
+    told = runs.unionByName(crowded).unionByName(whole).groupBy("key", "c").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    return cuts.select("key", "c", "t", "first").join(told, ["key", "c"]).select("t", F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("first"), (F.col("first") + r["high"]).alias("last"))).alias("runs"))
 
 
 REMOVED = "t binary, n_removed long, n_spans long, kept_sha256 string"
@@ -250,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE,
     texts = rows.filter(F.col("n_bytes") >= length).select("t", "text")
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("t").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").withColumn("whole", F.lit(True)).select("t", "whole")
     runs = written(repeated_runs(texts, length, sample, group), "repeat-runs")
-    listed = runs.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("r")).join(copies, "t", "left_anti")
+    listed = runs.groupBy("t").agg(F.flatten(F.collect_list("runs")).alias("r")).join(copies, "t", "left_anti")
     found = texts.join(listed, "t").select("t", "text", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
 
     def cut(batches):
