@@ -23,6 +23,9 @@ SHORT = 200.0
 #: Rejection starts at so many times the deviation that one in a thousand calibration texts exceeds.
 SLACK, LEAST = 2.5, 8.0
 
+#: Bytes of text that are scored together.
+TOGETHER = 1 << 18
+
 _P = np.uint64(0x100000001B3)
 _letters = np.zeros(0x110000, np.uint8)  # 0: not looked up yet, 1: other, 2: letter
 
@@ -165,7 +168,7 @@ def fit(counts: dict[str, dict[str, int]]) -> Models:
 def _scored(models: Models, batch: pa.RecordBatch):
     """Per row: ``(best language, entropy of it, margin to the next, symbols)``."""
     out = []
-    for _, data, offsets in chunks(batch.column("text")):
+    for _, data, offsets in chunks(batch.column("text"), TOGETHER):
         rows, starts, ends = word_spans(data, offsets)
         _, first, which = np.unique(Spans(data).hashes(starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
@@ -252,24 +255,22 @@ def with_language(docs: DataFrame, models: Models | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches):
-        models = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if models is None:
-                rows = batch.num_rows
-                new = [pa.array(["und"] * rows), pa.array(np.zeros(rows)), pa.nulls(rows, pa.float64()), pa.array([True] * rows)]
-            else:
-                best, entropy, margin, n = _scored(models, batch)
-                none = n == 0
-                odd = models.deviation(best, entropy, n) > models.limit
-                lang = np.where(none, "und", np.array(models.langs, object)[best])
-                new = [pa.array(lang.tolist(), pa.string()), pa.array(np.where(none, 0.0, models.calibrated(margin, n))), pa.array(entropy, mask=none), pa.array(none | odd)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], ["row", "lang_pred", "score", "entropy", "rejected"])
-
-    rows = docs.select(F.struct("*").alias("row"), column(docs, "text", "string"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(PREDICTED)]))
+    @F.arrow_udf(StructType.fromDDL(PREDICTED))
+    def predict(text: pa.Array) -> pa.Array:
+        models, rows = shared.value, len(text)
+        if models is None or not rows:
+            new = [pa.array(["und"] * rows, pa.string()), pa.array(np.zeros(rows)), pa.nulls(rows, pa.float64()), pa.array([True] * rows, pa.bool_())]
+        else:
+            best, entropy, margin, n = _scored(models, pa.RecordBatch.from_arrays([text], ["text"]))
+            none = n == 0
+            odd = models.deviation(best, entropy, n) > models.limit
+            lang = np.where(none, "und", np.array(models.langs, object)[best])
+            new = [pa.array(lang.tolist(), pa.string()), pa.array(np.where(none, 0.0, models.calibrated(margin, n))), pa.array(entropy, mask=none), pa.array(none | odd)]
+        return pa.StructArray.from_arrays(new, ["lang_pred", "score", "entropy", "rejected"])
+
+    # Only the text goes to Python and nothing but the answer comes back; the rows wait in the engine.
+    rows = docs.select(F.struct("*").alias("row"), predict(column(docs, "text", "string")).alias("answer"))
+    return rows.select("row", "answer.*")
 
 
 def third(docs: DataFrame):
