@@ -24,8 +24,8 @@ LITERAL = r"\"[^\"]*+\"|`[^`]*+`|'[^']*+'"
 COMMENT = r"//[^\n]*+|/\*[^*]*+\*/"
 
 
-def nested(opening: str, closing: str, depth: int = 6) -> str:
-    """Pattern of a balanced pair, nested up to ``depth`` levels."""
+def nested(opening: str, closing: str, depth: int = 12) -> str:
+    """Pattern of a balanced pair in a signature or a type, nested up to ``depth`` levels; values are cut without patterns."""
     pattern = rf"\{opening}[^\{opening}\{closing}]*+\{closing}"
     for _ in range(depth):
         pattern = rf"\{opening}(?:[^\{opening}\{closing}]++|{pattern})*+\{closing}"
@@ -205,8 +205,21 @@ def members(body: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    """Parts of a list, cut at top-level commas only."""
-    parts = find_all(without_comments(text), rf"(?:[^,(){{}}\[\]]++|{PARENS}|{BRACES}|{BRACKETS})++")
+    """Parts of a list, cut at top-level commas only, however deep its brackets nest."""
+    bare = without_comments(text)
+    tokens = find_all(bare, r"[(\[{]|[)\]}]|,|[^(){}\[\],]++")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("cuts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+        at = acc["at"] + F.length(t)
+        cuts = F.when((t == ",") & (acc["depth"] == 0), F.array_append(acc["cuts"], at)).otherwise(acc["cuts"])
+        return F.struct(depth.alias("depth"), at.alias("at"), cuts.alias("cuts"))
+
+    cuts = F.aggregate(tokens, start, step, lambda acc: F.array_append(acc["cuts"], acc["at"] + 1))
+    between = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.substring(bare, F.get(cuts, i - 1) + 1, F.get(cuts, i) - F.get(cuts, i - 1) - 1))
+    # Most lists have no bracket at all.
+    parts = F.when(bare.rlike(r"[(\[{]"), between).otherwise(F.split(bare, ","))
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s++|\s++$", "")), lambda p: p != "")
 
 
@@ -251,6 +264,33 @@ _TYPE_LAYOUT = (
 )
 
 
+# Brackets and commas of lists that are settled, while the lists around them are looked at.
+_LIST, _SETTLED = "(),", "\uE020\uE021\uE022"
+# A parameter list without lists in it, or the result list behind a settled one.
+_FLAT_LIST = r"(?:\bfunc|\uE021 ?)\([^()]*+\)"
+_LIST_PASSES = 4
+
+
+def expand_func_types(type_text: Column) -> Column:
+    """Each name of a nested list with its own type: 'func(a, b int)' as 'func(a int, b int)'.
+
+    Innermost lists first: a pass settles every list whose own lists are settled, so a nesting of
+    _LIST_PASSES / 2 levels with results is covered.
+    """
+
+    def settle(piece: Column) -> Column:
+        head = F.regexp_extract(piece, r"^([^(]*+\()", 1)
+        parts = F.split(F.substring(piece, F.length(head) + 1, F.length(piece) - F.length(head) - 1), r",\s*+")
+        entry = F.transform(expand_params(F.transform(parts, lambda p: F.trim(p))), lambda p: F.when(p["name"] == "", p["type"]).otherwise(F.concat_ws(" ", p["name"], p["type"])))
+        return F.translate(F.concat(head, F.array_join(entry, ", "), F.lit(")")), _LIST, _SETTLED)
+
+    text = type_text
+    for _ in range(_LIST_PASSES):
+        pieces = find_all(text, rf"{_FLAT_LIST}|(?s:(?!{_FLAT_LIST}).)++")
+        text = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_FLAT_LIST}$"), settle(p)).otherwise(p)), "")
+    return F.when(type_text.contains("func("), F.translate(text, _SETTLED, _LIST)).otherwise(type_text)
+
+
 def qualify_type(type_text: Column, aliases: Column, pkg_path: Column, type_params: Column | None = None) -> Column:
     """Canonical type text: imported names by import path, local names by package path, '...T' as '[]T'."""
     params = type_params if type_params is not None else F.array().cast("array<string>")
@@ -276,8 +316,11 @@ def type_param_names(brackets: Column) -> Column:
     return F.transform(split_list(inner), lambda p: F.regexp_extract(p, r"^(\w++)", 1))
 
 
-# Reference: what stands before it, qualifier, selector, and what follows.
-_REF = r"(?m)(?:^[\t ]++|\b\w++[ \t]++|[*\])][ \t]?+)?+(?<![\w.])[A-Za-z_]\w*+\.[A-Za-z_]\w*+(?:\(|\{|[ \t]*+$)?+"
+# Places where only types stand: signatures, struct and interface bodies, map keys, type assertions.
+_TYPES_ONLY = rf"\bfunc\b[ \t]*+(?:{PARENS}[ \t]*+)?+\w*+(?:{BRACKETS})?+[ \t]*+(?:{PARENS}[ \t]*+(?:{PARENS}|{_RESULT})?+)?+|\b(?:struct|interface)[ \t]*+{BRACES}|\bmap{BRACKETS}(?:{BRACKETS}|[*\w.])*+|\.{PARENS}"
+_QUALIFIED = r"(?<![\w.])[A-Za-z_]\w*+\.[A-Za-z_]\w*+"
+# Reference: what stands before it, qualifier, selector, and what follows.  A '*' right behind a value multiplies.
+_REF = rf"(?:^[\t ]++|\b\w++[ \t]++|(?:(?<![\w)\]])|(?<=\[\]))\*|\])?+{_QUALIFIED}(?:\(|\{{|[ \t]*+$)?+"
 _STATEMENT = "^(?:return|case|range|go|defer|if|else|switch|for|package|import|select)\\b"
 
 
@@ -289,22 +332,28 @@ def qualified_refs(code: Column) -> Column:
     """
     masked = F.regexp_replace(F.regexp_replace(code, _IMPORT_BLOCK, ""), rf"{LITERAL}|{COMMENT}|\.\.\.", " ")
 
-    def one(r: Column, n: Column) -> Column:
-        ref = F.regexp_extract(r, r"([A-Za-z_]\w*\.[A-Za-z_]\w*)[^\w.]*$", 1)
-        before = F.substring_index(r, ".", 1)
-        lead = F.regexp_extract(before, r"^(.*?)\w+$", 1)
-        alone = lead.rlike(r"^[\t ]+$") & ~r.rlike(r"[({]$")
+    def ref(name: Column, kind: Column) -> Column:
+        return F.struct(F.substring_index(name, ".", 1).alias("qualifier"), F.substring_index(name, ".", -1).alias("name"), kind.alias("kind"))
+
+    def alone(r: Column) -> Column:
+        name = F.regexp_extract(r, r"([A-Za-z_]\w*\.[A-Za-z_]\w*)[^\w.]*$", 1)
+        lead = F.regexp_extract(F.substring_index(r, ".", 1), r"^(.*?)\w+$", 1)
+        by_itself = lead.rlike(r"^[\t ]+$") & ~r.rlike(r"[({]$")
         after_name = lead.rlike(r"^\w+[\t ]+$") & ~lead.rlike(_STATEMENT)
         kind = (
             F.when(r.endswith("("), F.lit("call"))
-            .when(r.endswith("{") | alone | after_name | lead.rlike(r"^[*\])]"), F.lit("type"))
+            .when(r.endswith("{") | by_itself | after_name | lead.rlike(r"^[*\]]"), F.lit("type"))
             .otherwise(F.lit("value"))
         )
-        return F.struct(
-            n.cast("bigint").alias("pos"), F.substring_index(ref, ".", 1).alias("qualifier"), F.substring_index(ref, ".", -1).alias("name"), kind.alias("kind"),
-        )
+        return ref(name, kind)
 
-    return F.transform(find_all(masked, _REF), one)
+    def each(piece: Column) -> Column:
+        only = piece.rlike(r"^(?:func\b|(?:struct|interface)[ \t]*\{|map\[|\.\()")
+        return F.when(only, F.transform(find_all(piece, _QUALIFIED), lambda n: ref(n, F.lit("type")))).otherwise(F.array(alone(piece)))
+
+    flat = F.flatten(F.transform(find_all(masked, rf"(?m){_TYPES_ONLY}|{_REF}"), each))
+    # Most pieces of a signature name no package; they leave nothing.
+    return F.transform(flat, lambda r, n: F.struct(n.cast("bigint").alias("pos"), r["qualifier"].alias("qualifier"), r["name"].alias("name"), r["kind"].alias("kind")))
 
 
 # Literal shapes: (pattern, constant type, variable type).
@@ -329,23 +378,72 @@ def literal_type(value: Column, is_const: Column) -> Column:
 SHOWN_CHARS, CUT_CHARS = 72, 69
 
 
+def shown_constant(value: Column) -> Column:
+    """A stored constant as it is shown: long strings cut."""
+    return F.when(value.startswith('"') & (F.length(value) > SHOWN_CHARS), F.concat(F.substring(value, 1, CUT_CHARS), F.lit("..."))).otherwise(value)
+
+
+def _from_base(digits: Column, bits: int) -> Column:
+    """Decimal text of digits to a base of 2^bits, up to 120 bits; '' beyond."""
+    wide = "decimal(38,0)"
+    each = F.transform(F.split(digits, ""), lambda d: F.conv(d, 16, 10).cast(wide))
+    total = F.aggregate(each, F.lit(0).cast(wide), lambda acc, d: (acc * F.lit(1 << bits) + d).cast(wide))
+    return F.when(F.length(digits) * bits <= 120, total.cast("string")).otherwise(F.lit(""))
+
+
+def _six_digits(number: Column) -> Column:
+    """Six significant digits without zeros at the end."""
+    text = F.format_string("%.6g", number.try_cast("double"))
+    text = F.when(text.rlike("^-?[0-9]"), text).otherwise(F.lit(""))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+
+# One-character escapes in a rune literal, and their code points.
+_ESCAPES = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, "'": 39, '"': 34}
+
+
 def constant_value(literal: Column) -> Column:
-    """Shown value of a literal constant, '' where it would have to be computed."""
+    """Value of a literal constant, '' where it would have to be computed; strings are whole."""
     digits = F.replace(literal, F.lit("_"), F.lit(""))
-    decimal = digits.rlike(r"^-?(?:0|[1-9][0-9]*)$")
-    hexa = digits.rlike(r"^0[xX][0-9a-fA-F]{1,15}$")
-    # Six significant digits are shown; a shorter plain decimal fraction is shown as written, without end zeros.
-    fraction = digits.rlike(r"^-?(?=[0-9.]{3,7}$)(?:0|[1-9][0-9]*)\.[0-9]+$") & (F.length(F.regexp_replace(digits, r"^-?0\.0*|[-.]", "")) <= 6)
-    small = digits.rlike(r"^-?0\.0000")
+    sign = F.when(digits.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    bare = F.regexp_replace(digits, "^-", "")
+    based = F.regexp_extract(bare, r"^0[xXoObB]?([0-9a-fA-F]+)$", 1)
+
+    def whole(pattern: str, bits: int) -> Column:
+        number = _from_base(based, bits)
+        return F.when(bare.rlike(pattern), F.when(number == "", F.lit("")).otherwise(F.concat(F.when(number != "0", sign).otherwise(F.lit("")), number)))
+
+    fraction = bare.rlike(r"^(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?:\.[0-9]*)?[eE][+-]?[0-9]+|\.[0-9]+[eE][+-]?[0-9]+)$")
     raw = literal.rlike(r"^`[^`\\\"\n\t\r]*`$")
     quoted = F.when(raw, F.concat(F.lit('"'), F.substring(literal, F.lit(2), F.length(literal) - 2), F.lit('"'))).otherwise(literal)
     plain = literal.rlike(r'^"(?:[^"\\]|\\["\\nt])*"$') | raw
-    shown = F.when(F.length(quoted) > SHOWN_CHARS, F.concat(F.substring(quoted, 1, CUT_CHARS), F.lit("..."))).otherwise(quoted)
+    rune = F.regexp_extract(literal, r"^'(.+)'$", 1)
+    escapes = F.create_map(*(F.lit(x) for pair in _ESCAPES.items() for x in (pair[0], str(pair[1]))))
+    coded = F.regexp_extract(rune, r"^\\(?:x|u|U)([0-9a-fA-F]+)$", 1)
+    utf32 = F.conv(F.hex(F.encode(rune, "UTF-32")), 16, 10)
     return (
         F.when(literal.isin("true", "false"), literal)
-        .when(decimal, digits)
-        .when(hexa, F.conv(F.substring(digits, F.lit(3), F.length(digits)), 16, 10))
-        .when(fraction & ~small, F.regexp_replace(digits, r"\.?0+$", ""))
-        .when(plain, shown)
+        .when(bare.rlike(r"^(?:0|[1-9][0-9]*)$"), F.when(bare == "0", bare).otherwise(digits))
+        .when(bare.rlike(r"^0[xX]"), whole(r"^0[xX][0-9a-fA-F]+$", 4)).when(bare.rlike(r"^0[bB]"), whole(r"^0[bB][01]+$", 1)).when(bare.rlike(r"^0[oO]?[0-7]+$"), whole(r"^0[oO]?[0-7]+$", 3))
+        .when(fraction, _six_digits(digits))
+        .when(plain, quoted)
+        .when(F.char_length(rune) == 1, utf32)
+        .when(coded != "", F.conv(coded, 16, 10))
+        .when(rune.rlike(r"^\\.$"), F.coalesce(F.try_element_at(escapes, F.substring(rune, 2, 1)), F.lit("")))
         .otherwise(F.lit(""))
     )
+
+
+def counted_value(expression: Column, n: Column) -> Column:
+    """Value of the common forms of ``iota`` for the entry number ``n``, '' for any other expression."""
+    bare = F.regexp_replace(expression, r"[\s()]", "")
+    k = F.regexp_extract(bare, r"([0-9]{1,9})", 1).try_cast("bigint")
+    n = n.cast("bigint")
+    forms = (
+        (r"^iota$", n), (r"^iota\+[0-9]{1,9}$", n + k), (r"^[0-9]{1,9}\+iota$", n + k), (r"^iota-[0-9]{1,9}$", n - k),
+        (r"^(?:iota\*[0-9]{1,9}|[0-9]{1,9}\*iota)$", n * k), (r"^1<<iota$", F.when(n < 62, F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")))),
+    )
+    out = F.when(F.lit(False), F.lit(""))
+    for pattern, value in forms:
+        out = out.when(bare.rlike(pattern), F.coalesce(value.cast("string"), F.lit("")))
+    return out.otherwise(F.lit(""))

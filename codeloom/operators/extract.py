@@ -5,8 +5,8 @@ works on small extracted arrays, so no shuffle ever carries file contents.
 
 Limits, as there is no type checker: formatted source is assumed (declarations at
 column 0, members one tab in); types of initialised variables are known for plain
-literals, composite literals, ``new`` and ``make``; computed constants, ``iota``,
-fields selected on values, dot imports and types defined as another struct's name
+literals, composite literals, ``new`` and ``make``; computed constants other than plain
+forms of ``iota``, fields selected on values, dot imports and types defined as another struct's name
 need fact input or an ``external_symbols`` table.  Unknown stays '' or null.
 """
 
@@ -18,21 +18,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import gotext as G
-from codeloom.operators.skew import hot_join
 from codeloom.operators.structs import struct_methods
 from codeloom.operators.uses import SYMBOL_KEY
+from codeloom.sources.corpus import error_of
 from codeloom.schemas import FIELDS, FILE_KEY, METHODS, Facts, normalise
 
 HEAD = ["project", "pkg_path", "file_path"]
+_NAMES = r"^(\w++(?:\s*+,\s*+\w++)*+)"
 
 
 def parse_files(source_files: DataFrame) -> DataFrame:
-    """``(project, pkg_path, file_path, package_name, imports, decls, refs)``; a narrow step without the text."""
+    """``(project, pkg_path, file_path, error, package_name, imports, decls, refs)``; a narrow step without the text.
+
+    ``error`` is '' for a good file; one shielding of the text serves both.
+    """
     kept = [c for c in source_files.columns if c != "content"]
     coded = source_files.select(*kept, G.shield(F.coalesce("content", F.lit(""))).alias("_code"))
     code = F.col("_code")
     return coded.select(
-        *kept, G.package_name(code).alias("package_name"), G.imports(code).alias("imports"),
+        *kept, error_of(code, code, F.lit(True)).alias("error"), G.package_name(code).alias("package_name"), G.imports(code).alias("imports"),
         G.declarations(code).alias("decls"), G.qualified_refs(code).alias("refs"),
     )
 
@@ -49,8 +53,10 @@ def with_aliases(parsed: DataFrame) -> DataFrame:
         .filter((F.col("package_name") != "") & (F.col("package_name") != "main") & (F.col("package_name") != G.default_alias(F.col("path"))))
         .groupBy("project", "path").agg(F.min("package_name").alias("_real"))
     )
-    asked = parsed.select(*FILE_KEY, F.inline("imports")).filter("alias = ''").select(*FILE_KEY, "path").distinct()
-    named = hot_join(asked, odd, ["project", "path"], ["file_path"], how="inner")
+    # Narrow rows, without repeats inside the file already; the heavy rows meet only the few files with an odd name.
+    unnamed = F.array_distinct(F.transform(F.filter("imports", lambda i: i["alias"] == ""), lambda i: i["path"]))
+    asked = parsed.select(*FILE_KEY, F.explode(unnamed).alias("path"))
+    named = asked.join(odd, ["project", "path"])
     real = named.groupBy(*FILE_KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", "_real"))).alias("_names"))
     joined = parsed.join(real, FILE_KEY, "left")
 
@@ -81,7 +87,8 @@ def _inside(parens: Column) -> Column:
 
 def _signatures(parsed: DataFrame) -> DataFrame:
     """Function and method rows with receiver, name and split parameter and result lists."""
-    rows = _declared(parsed, "func").select(
+    # Written out here, once per declaration, so that no type has to look inside its own lists.
+    rows = _declared(parsed, "func").withColumn("text", G.expand_func_types(F.col("text"))).select(
         *HEAD, "aliases", "pos", "comment",
         *[F.regexp_extract("text", _FUNC, n).alias(c) for n, c in enumerate(("recv", "name", "brackets", "args", "results"), 1)],
     )
@@ -124,11 +131,30 @@ def methods(parsed: DataFrame) -> DataFrame:
 
 
 def _specs(parsed: DataFrame, *words: str) -> DataFrame:
-    """One row per entry of type, var or const declarations, with group and entry comment apart."""
-    rows = _declared(parsed, *words).select(*HEAD, "aliases", "pos", "word", F.col("comment").alias("group_doc"), F.posexplode(G.specs(F.col("text"))).alias("n", "s"))
+    """One row per entry of type, var or const declarations, with group and entry comment apart.
+
+    ``pos`` counts the entries of a file.  ``n`` is the entry's number in its declaration, and ``carried`` the type and
+    value of the last entry before it that has a value: an entry of a constant group without one repeats them.
+    """
+
+    def of(d: Column) -> Column:
+        found = G.specs(d["text"])
+        bare = F.transform(found, lambda s: G.without_comments(s["text"]))
+        flags = F.array_join(F.transform(bare, lambda t: F.when(t.contains("="), "1").otherwise("0")), "")
+
+        def entry(s: Column, n: Column) -> Column:
+            # Distance back to the last entry with a value.
+            back = F.instr(F.reverse(F.substring(flags, F.lit(1), n + 1)), "1")
+            tail = F.when(back > 1, F.regexp_extract(F.get(bare, n - back + 1), _NAMES + r"((?s:.*))$", 2)).otherwise(F.lit(""))
+            return F.struct(d["word"].alias("word"), d["doc"].alias("group_doc"), s["doc"].alias("spec_doc"), s["text"].alias("text"), n.alias("n"), tail.alias("carried"))
+
+        return F.transform(found, entry)
+
+    entries = F.flatten(F.transform(F.filter("decls", lambda d: d["word"].isin(*words)), of))
+    rows = parsed.select(*HEAD, "aliases", F.posexplode(entries).alias("pos", "s"))
     return rows.select(
-        *HEAD, "aliases", (F.col("pos") * F.lit(1 << 20) + F.col("n")).alias("pos"), "word", "group_doc",
-        G.doc_text(F.col("s.doc")).alias("spec_doc"), F.col("s.text").alias("text"),
+        *HEAD, "aliases", F.col("pos").cast("bigint").alias("pos"), "s.word", G.doc_text(F.col("s.group_doc")).alias("group_doc"),
+        G.doc_text(F.col("s.spec_doc")).alias("spec_doc"), "s.text", "s.n", "s.carried",
     )
 
 
@@ -136,7 +162,7 @@ _TYPE = rf"^(\w++)({G.BRACKETS})?+\s++(struct|interface)\s*+(\{{(?s:.*)\}})[^}}]
 
 
 def _type_bodies(parsed: DataFrame, kind: str) -> DataFrame:
-    rows = _specs(parsed, "type").select(
+    rows = _specs(parsed, "type").withColumn("text", G.expand_func_types(F.col("text"))).select(
         *HEAD, "aliases", "pos", F.when(F.col("group_doc") != "", F.col("group_doc")).otherwise(F.col("spec_doc")).alias("comment"),
         *[F.regexp_extract("text", _TYPE, n).alias(c) for n, c in enumerate(("bare", "brackets", "kind", "body"), 1)],
     ).filter(F.col("kind") == kind)
@@ -183,7 +209,6 @@ def interfaces(parsed: DataFrame) -> DataFrame:
     return normalise(out, "decl_iface")
 
 
-_NAMES = r"^(\w++(?:\s*+,\s*+\w++)*+)"
 # Type of a composite literal: '[]T{', 'map[K]V{', 'pkg.T{', '&T{'.
 _COMPOSITE = rf"^&?((?:map{G.BRACKETS}|{G.BRACKETS}|\*|[\w.])++)\{{"
 
@@ -192,29 +217,41 @@ def globals_(parsed: DataFrame) -> DataFrame:
     """Variables and constants, one row per name."""
     rows = _specs(parsed, "var", "const")
     bare = G.without_comments(F.col("text"))
+    is_const = F.col("word") == "const"
+    own = F.regexp_extract(bare, _NAMES + r"((?s:.*))$", 2)
+    # A constant without a value takes type and value of the entry above it.
+    rest = F.when(is_const & ~own.contains("="), F.col("carried")).otherwise(own)
     rows = rows.select(
-        *HEAD, "aliases", "pos", (F.col("word") == "const").alias("is_const"),
+        *HEAD, "aliases", "pos", "n", is_const.alias("is_const"),
         F.when(F.col("spec_doc") != "", F.col("spec_doc")).otherwise(F.col("group_doc")).alias("comment"),
-        F.split(F.regexp_extract(bare, _NAMES, 1), r"\s*,\s*").alias("names"),
-        F.regexp_replace(F.regexp_extract(bare, _NAMES + r"([^=]*+)", 2), r"^\s++|\s++\z", "").alias("written_type"),
-        G.split_list(F.regexp_extract(bare, r"(?s)^[^=]*+=(.*)$", 1)).alias("values"), F.array().cast("array<string>").alias("tparams"),
+        F.split(F.regexp_extract(bare, _NAMES, 1), r"\s*,\s*").alias("names"), rest.alias("rest"), F.array().cast("array<string>").alias("tparams"),
     ).filter(F.element_at("names", 1) != "")
-    each = rows.select("*", F.posexplode("names").alias("n", "name"))
+    value_text = F.regexp_replace(F.regexp_extract("rest", r"(?s)^[^=]*+=(.*)$", 1), r"^\s++|\s++\z", "")
+    rows = rows.select(
+        "*", G.expand_func_types(F.regexp_replace(F.regexp_extract("rest", r"^([^=]*+)", 1), r"^\s++|\s++\z", "")).alias("written_type"),
+        # A single name has the whole text; only a list of names is cut.
+        F.when(F.size("names") == 1, F.array(value_text)).otherwise(G.split_list(value_text)).alias("values"),
+    )
+    each = rows.select(*[c for c in rows.columns if c != "n"], F.col("n").alias("entry"), F.posexplode("names").alias("n", "name"))
     value = F.coalesce(F.get("values", F.col("n")), F.lit(""))
     shown = each.withColumn("raw", value).withColumn("plain", G.unshield(F.col("raw")))
     made = F.regexp_extract("raw", r"^make\(([^,()]++)[,)]", 1)
     new = F.regexp_extract("raw", r"^new\(([^()]++)\)$", 1)
     composite = F.regexp_extract("raw", _COMPOSITE, 1)
+    counted = F.when(F.col("is_const"), G.counted_value(F.col("plain"), F.col("entry"))).otherwise(F.lit(""))
     guess = (
-        F.when(F.col("is_const") | (F.col("raw") == ""), G.literal_type(F.col("plain"), F.col("is_const")))
+        F.when(counted != "", F.lit("untyped int"))
+        .when(F.col("is_const") | (F.col("raw") == ""), G.literal_type(F.col("plain"), F.col("is_const")))
         .when((composite != "") & ~composite.isin("struct", "interface"), F.concat(F.when(F.col("raw").startswith("&"), F.lit("*")).otherwise(F.lit("")), _qualified(composite)))
         .when(made != "", _qualified(made)).when(new != "", F.concat(F.lit("*"), _qualified(new)))
         .otherwise(G.literal_type(F.col("plain"), F.lit(False)))
     )
+    constant = F.when(counted != "", counted).otherwise(G.constant_value(F.col("plain")))
     out = shown.select(
-        *HEAD, (F.col("pos") * 1024 + F.col("n")).alias("pos"), "name", F.concat_ws(".", "pkg_path", "name").alias("fq_name"), "comment",
+        # Both numbers have 32 bits, so they never run into each other.
+        *HEAD, (F.shiftleft("pos", 32) + F.col("n")).alias("pos"), "name", F.concat_ws(".", "pkg_path", "name").alias("fq_name"), "comment",
         F.when(F.col("written_type") != "", _qualified(F.col("written_type"))).otherwise(guess).alias("type"),
-        F.when(F.col("is_const"), G.constant_value(F.col("plain"))).otherwise(F.col("plain")).alias("value"), "is_const",
+        F.when(F.col("is_const"), constant).otherwise(F.col("plain")).alias("value"), "is_const",
     )
     return normalise(out, "decl_global")
 
@@ -246,10 +283,10 @@ def settle_kinds(refs: DataFrame, facts: Facts, external_symbols: DataFrame | No
     )
     # A function-local type or variable may share a name; the package-level meaning sorts first.
     known = rows.groupBy(*SYMBOL_KEY).agg(F.min("is").alias("_is"))
-    settled = hot_join(refs, known, SYMBOL_KEY, ["file_path", "pos"])
+    settled = refs.join(known, SYMBOL_KEY, "left")
     if external_symbols is not None:
         outside = external_symbols.select("fq_name", F.col("kind").alias("_outside"), *[F.col(c).alias(f"_{c}") for c in ("ext_type", "ext_value", "ext_is_const")])
-        settled = hot_join(settled, outside, ["fq_name"], ["file_path", "pos"])
+        settled = settled.join(outside, ["fq_name"], "left")
         for c in ("ext_type", "ext_value", "ext_is_const"):
             settled = settled.withColumn(c, F.coalesce(c, f"_{c}"))
         settled = settled.withColumn("_is", F.coalesce("_is", "_outside"))

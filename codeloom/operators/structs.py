@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import hot_join
 from codeloom.schemas import METHODS
 
 
@@ -21,7 +20,7 @@ def struct_methods(decl_struct: DataFrame, decl_method: DataFrame, strict: bool
     gathered = decl_method.groupBy(*owner).agg(F.array_sort(F.collect_list(rows)).alias("_m"))
     bare = F.regexp_extract(F.substring(F.col("name"), F.length("pkg_path") + 2, F.length("name")), r"^(\w+)", 1)
     structs = decl_struct.drop("methods").withColumn("recv_type", bare)
-    joined = hot_join(structs, gathered, owner, ["file_path", "pos"])
+    joined = structs.join(gathered, owner, "left")
 
     def method(m):
         comment = m["comment"] if strict else F.when(m["file_path"] == F.col("file_path"), m["comment"]).otherwise("")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import hot_join
 from codeloom.schemas import FILE_KEY, Facts
 
 SYMBOL_KEY = ["project", "fq_name"]
@@ -68,16 +67,13 @@ def first_globals(decl_global: DataFrame) -> DataFrame:
 def used_functions(facts: Facts) -> DataFrame:
     """One row per call site of another package's function that the project declares."""
     calls = foreign_refs(facts.use_ref).filter(F.col("kind") == "call").select("project", "file_path", "pos", "fq_name")
-    return hot_join(calls, first_functions(facts.decl_func), SYMBOL_KEY, ["file_path", "pos"], how="inner")
+    return calls.join(first_functions(facts.decl_func), SYMBOL_KEY)
 
 
 def used_globals(facts: Facts) -> DataFrame:
     """Distinct variables and constants of other packages, from their declaration or else from what the reference knows."""
     values = distinct_uses(facts.use_ref).filter(F.col("kind") == "value")
-    found = hot_join(
-        values, first_globals(facts.decl_global).withColumn("_hit", F.lit(True)), SYMBOL_KEY, ["file_path"],
-        keys=foreign_refs(facts.use_ref).filter(F.col("kind") == "value"),
-    )
+    found = values.join(first_globals(facts.decl_global).withColumn("_hit", F.lit(True)), SYMBOL_KEY, "left")
     hit = F.col("_hit").isNotNull()
 
     def pick(decl: Column, fallback: Column) -> Column:

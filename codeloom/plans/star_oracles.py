@@ -120,9 +120,11 @@ json_rows AS (
   LEFT JOIN type_json t ON t.project = f.project AND t.file_path = f.file_path
   LEFT JOIN call_json c ON c.project = f.project AND c.file_path = f.file_path
   LEFT JOIN value_json v ON v.project = f.project AND v.file_path = f.file_path),
-project_arrays AS (
-  SELECT project, '[' || string_agg('{{"fileInfo":' || json || ',"filePath":' || {_json('file_path')} || '}}', ',' ORDER BY file_path) || ']' AS text
-  FROM json_rows GROUP BY project)
+json_pieces AS (
+  SELECT *, CASE WHEN file_path = min(file_path) OVER (PARTITION BY project) THEN '' ELSE ',' END AS comma FROM json_rows),
+context_pieces AS (
+  SELECT DISTINCT project, '0' AS part, '[' AS text FROM json_rows UNION ALL SELECT DISTINCT project, '2', ']' FROM json_rows
+  UNION ALL SELECT project, '1/' || file_path, comma || '{{"fileInfo":' || json || ',"filePath":' || {_json('file_path')} || '}}' FROM json_pieces)
 """
 
 _LOCAL_NAMES = """
@@ -174,8 +176,9 @@ _SELECTS: dict[str, str] = {
         LEFT JOIN ({_names_of('call', 'pos, fq_name')}) c ON c.project = f.project AND c.file_path = f.file_path
         LEFT JOIN ({_names_of('value', 'fq_name')}) v ON v.project = f.project AND v.file_path = f.file_path""",
     "export_json": "SELECT project, file_path, json FROM json_rows",
-    "project_json": f"SELECT project, '' AS part, '{{' || string_agg({_json('file_path')} || ':' || json, ',' ORDER BY file_path) || '}}' AS text FROM json_rows GROUP BY project",
-    "project_context_json": "SELECT project, '' AS part, text FROM project_arrays",
+    "project_json": f"""SELECT DISTINCT project, '0' AS part, '{{' AS text FROM json_rows UNION ALL SELECT DISTINCT project, '2', '}}' FROM json_rows
+        UNION ALL SELECT project, '1/' || file_path, comma || {_json('file_path')} || ':' || json FROM json_pieces""",
+    "project_context_json": "SELECT project, part, text FROM context_pieces",
     "project_report": f"""SELECT f.project, f.file_path, chr(10) || '--- File: ' || f.file_path || ' ---' || chr(10) || '  Package Name: ' || f.pkg_name || chr(10)
         || '  Imports:' || chr(10) || CASE WHEN f.report = '' THEN '    (None)' || chr(10) ELSE f.report END
         || '  Functions:' || chr(10) || coalesce(l.fns, '    (None)' || chr(10))
@@ -188,16 +191,18 @@ _SELECTS: dict[str, str] = {
           FROM decls d LEFT JOIN mtext m ON m.struct_name = d.fq_name GROUP BY d.project, d.file_path) l ON l.project = f.project AND l.file_path = f.file_path
         LEFT JOIN (SELECT project, file_path, string_agg('    - ' || fq_name || chr(10), '' ORDER BY fq_name) AS names FROM items WHERE kind = 'type' GROUP BY project, file_path) t
           ON t.project = f.project AND t.file_path = f.file_path""",
-    "package_nodes": """SELECT n.project, n.pkg_path, 0 AS part, coalesce(fn.names, '') AS functions, coalesce(dep.names, '') AS depends_on, n.names AS files
+    "package_nodes": """SELECT n.project, n.pkg_path, coalesce(fn.names, '') AS functions, coalesce(dep.names, '') AS depends_on, n.names AS files
         FROM (SELECT project, pkg_path, string_agg(file_path, ',' ORDER BY file_path) AS names FROM files GROUP BY project, pkg_path) n
         LEFT JOIN (SELECT project, pkg_path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM decls WHERE kind_id = 2 GROUP BY project, pkg_path) fn
           ON fn.project = n.project AND fn.pkg_path = n.pkg_path
         LEFT JOIN (SELECT project, pkg_path, string_agg(DISTINCT target_pkg, ',' ORDER BY target_pkg) AS names FROM uses GROUP BY project, pkg_path) dep
           ON dep.project = n.project AND dep.pkg_path = n.pkg_path""",
-    "prompt_messages": f"""SELECT project, 0 AS ordinal, '' AS part, 'system' AS role, {_q(P.SYSTEM_TEXT)} AS content FROM project_arrays
-        UNION ALL SELECT project, 1, '', 'user', {_q(P.PROJECT_HEAD)} || text || {_q(P.PROJECT_TAIL)} FROM project_arrays
-        UNION ALL SELECT project, 2, '', 'user', {_q(P.FOCUS_TEXT.format('P7'))} FROM project_arrays
-        UNION ALL SELECT project, 3, '', 'user', {_q(P.MINIFY_TEXT)} FROM project_arrays""",
+    "package_edges": """SELECT DISTINCT project, pkg_path, 'Files' AS list, file_path AS item FROM files UNION ALL SELECT DISTINCT project, pkg_path, 'DependsOn', target_pkg FROM uses
+        UNION ALL SELECT DISTINCT project, pkg_path, 'Functions', name FROM decls WHERE kind_id = 2""",
+    "prompt_messages": f"""SELECT project, 0 AS ordinal, '' AS part, 'system' AS role, {_q(P.SYSTEM_TEXT)} AS content FROM (SELECT DISTINCT project FROM json_rows)
+        UNION ALL SELECT project, 1, part, 'user', CASE part WHEN '0' THEN {_q(P.PROJECT_HEAD)} ELSE '' END || text || CASE part WHEN '2' THEN {_q(P.PROJECT_TAIL)} ELSE '' END FROM context_pieces
+        UNION ALL SELECT project, 2, '', 'user', {_q(P.FOCUS_TEXT.format('P7'))} FROM (SELECT DISTINCT project FROM json_rows)
+        UNION ALL SELECT project, 3, '', 'user', {_q(P.MINIFY_TEXT)} FROM (SELECT DISTINCT project FROM json_rows)""",
     "has_content": "SELECT project, bool_or(pkg_name <> '') AS has_content FROM files GROUP BY project",
     "validate_args": """SELECT request_id, coalesce(project, '') AS project, CASE WHEN coalesce(project, '') = '' THEN 'projectPath is required'
         WHEN project IN (SELECT project FROM files) THEN '' ELSE 'failed to parse project: no packages found in ' || project END AS error

@@ -13,7 +13,7 @@ from codeloom.operators import extract as X
 from codeloom.operators import resolve as S
 from codeloom.operators import uses as U
 from codeloom.operators.file_info import assemble_file_info
-from codeloom.operators.graph import package_nodes
+from codeloom.operators.graph import package_edges, package_nodes
 from codeloom.operators.requests import lookup_file, serve_requests, wanted_files
 from codeloom.operators.structs import dedupe_types, struct_methods
 from codeloom.plans import prompts as P
@@ -148,11 +148,11 @@ def export_json(spark, sf):
 
 
 def project_json(spark, sf):
-    return export.project_json(stored_file_info(spark, sf))
+    return export.project_json_parts(stored_file_info(spark, sf))
 
 
 def project_context_json(spark, sf):
-    return export.project_context_json(stored_file_info(spark, sf))
+    return export.project_context_parts(stored_file_info(spark, sf))
 
 
 def project_report(spark, sf):
@@ -161,7 +161,11 @@ def project_report(spark, sf):
 
 def package_nodes_(spark, sf):
     rows = package_nodes(star_facts(spark, sf))
-    return rows.select("project", F.col("PkgPath").alias("pkg_path"), "part", joined("Functions").alias("functions"), joined("DependsOn").alias("depends_on"), joined("Files").alias("files"))
+    return rows.select("project", F.col("PkgPath").alias("pkg_path"), joined("Functions").alias("functions"), joined("DependsOn").alias("depends_on"), joined("Files").alias("files"))
+
+
+def package_edges_(spark, sf):
+    return package_edges(star_facts(spark, sf))
 
 
 def prompt_messages(spark, sf):
@@ -284,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "format_function": format_function, "format_global": format_global, "format_struct": format_struct,
     "format_interface": format_interface, "compose_context": compose_context, "lookup_file": lookup_file_,
     "serve_requests": serve_requests_, "file_info": file_info, "export_json": export_json, "project_json": project_json,
-    "project_context_json": project_context_json, "project_report": project_report, "package_nodes": package_nodes_,
+    "project_context_json": project_context_json, "project_report": project_report, "package_nodes": package_nodes_, "package_edges": package_edges_,
     "prompt_messages": prompt_messages, "has_content": has_content, "validate_args": validate_args, "changed_files": changed_files,
     "extract_package_imports": extract_package_imports, "extract_functions": extract_functions, "extract_params": extract_params,
     "extract_returns": extract_returns, "extract_structs": extract_structs, "extract_methods": extract_methods,

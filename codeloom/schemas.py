@@ -7,7 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import hot_join
+from codeloom.functions.gotext import shown_constant
+
 
 STRINGS = "array<string>"
 FIELDS = "array<struct<Name:string,Type:string>>"
@@ -75,7 +76,7 @@ class Facts:
     def only_files(self, wanted: DataFrame) -> "Facts":
         """Keep the rows of the wanted files; declarations stay whole, as any of them may be looked up."""
         keys = wanted.select(*FILE_KEY).distinct()
-        refs = hot_join(self.use_ref, keys, FILE_KEY, ["pos"], how="left_semi")
+        refs = self.use_ref.join(keys, FILE_KEY, "left_semi")
         return replace(self, go_file=self.go_file.join(keys, FILE_KEY, "left_semi"), use_ref=refs)
 
 
@@ -94,5 +95,5 @@ def iface_struct() -> Column:
 def global_struct(name: str = "name") -> Column:
     return F.struct(
         F.col(name).alias("Name"), F.col("comment").alias("Comment"), F.col("type").alias("Type"),
-        F.col("value").alias("Value"), F.col("is_const").alias("IsConst"),
+        F.when(F.col("is_const"), shown_constant(F.col("value"))).otherwise(F.col("value")).alias("Value"), F.col("is_const").alias("IsConst"),
     )

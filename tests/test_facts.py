@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.file_info import compose_file_info
-from codeloom.operators.graph import package_nodes
+from codeloom.operators.graph import package_edges
 from codeloom.operators.requests import lookup_file, serve_requests
 from codeloom.plans.prompts import EMPTY_TEXT, MINIFY_TEXT, SYSTEM_TEXT, has_content, prompt_messages
 from codeloom.schemas import FILE_INFO
@@ -36,58 +36,57 @@ def texts(df):
     return {r.file_path: r.text for r in compose_file_info(df).collect()}
 
 
-def test_package_only_exact(rows):
-    assert texts(rows({"/path/to/empty.go": {"PackageName": "main"}})) == {"/path/to/empty.go": "--- File: /path/to/empty.go ---\nPackage: main\n\n"}
+def test_a_file_with_imports_only(rows):
+    assert texts(rows({"/bank/ledger.go": {"PackageName": "bank", "Imports": ["errors", "math/big"]}})) == {
+        "/bank/ledger.go": "--- File: /bank/ledger.go ---\nPackage: bank\n\nImports:\n- errors\n- math/big\n\n"
+    }
 
 
-def test_unresolved_name_is_a_bare_line(rows):
-    out = texts(rows({"/m.go": {"PackageName": "main", "UsedImportedStructs": [used("host.com/x.Some")]}}))
-    assert out["/m.go"].endswith("Used Items From Other Packages:\n- host.com/x.Some\n")
+def test_names_that_no_file_declares(rows):
+    out = texts(rows({"/bank/audit.go": {"PackageName": "bank", "UsedImportedStructs": [used("math/big.Int"), used("errors.Kind")]}}))
+    assert out["/bank/audit.go"].split("\n\n")[1] == "Used Items From Other Packages:\n- errors.Kind\n- math/big.Int\n"
 
 
-def test_item_in_two_lists_is_printed_once(rows):
-    name = "example.com/o.F"
+def test_type_section_comes_before_the_function_of_the_same_name(rows):
+    both = "bank.example/rate.Convert"
     out = texts(rows({
-        "/o.go": {"PackageName": "o", "Functions": [fn(name, None, ["i int"])]},
-        "/m.go": {"PackageName": "main", "UsedImportedStructs": [used(name)], "UsedImportedFunctions": [fn(name, None, ["i int"])]},
+        "/bank/rate/convert.go": {"PackageName": "rate", "Functions": [fn(both, "Convert at today's rate.", ["cents int64"], ["int64"])]},
+        "/bank/pay.go": {"PackageName": "bank", "UsedImportedStructs": [used(both), used("bank.example/rate.Table")], "UsedImportedFunctions": [fn(both, None, ["cents int64"], ["int64"])]},
     }))
-    assert out["/m.go"].count(f"Function: {name}") == 1
+    section = out["/bank/pay.go"].split("Used Items From Other Packages:\n")[1]
+    assert section == f"  Function: {both}\n    Comment: Convert at today's rate.\n    Signature: (cents int64) -> (int64)\n- bank.example/rate.Table\n"
 
 
-def test_used_name_may_be_struct_interface_or_function_but_not_global(rows):
+def test_what_a_used_type_name_may_stand_for(rows):
     out = texts(rows({
-        "/o.go": {
-            "PackageName": "o",
-            "Structs": [("t/d.S", "A struct.", [("A", "string"), ("B", "int")], [("Get", None, [], ["string"])])],
-            "Interfaces": [("t/d.I", "An interface.", [("Do", "Acts.", ["ctx context.Context"], ["error"])], ["io.Writer"])],
-            "Functions": [fn("t/d.F", "Helps", ["a int", "b string"], ["int", "error"])],
-            "GlobalVars": [("t/d.G", None, "time.Duration", "5 * time.Second", False)],
+        "/geo/shapes.go": {
+            "PackageName": "geo",
+            "Structs": [("geo.Circle", None, [("Radius", "float64")], [("Area", "Area in square metres.", [], ["float64"]), ("Move", None, ["float64", "float64"], [])])],
+            "Interfaces": [("geo.Shape", "Shape has an area.", [("Area", None, [], ["float64"])], ["fmt.Stringer", "geo.Moving"])],
+            "Functions": [fn("geo.Union", None, ["all []geo.Shape"], ["geo.Shape"])],
+            "GlobalVars": [("geo.Origin", "Origin is zero.", "geo.Point", "Point{}", False)],
         },
-        "/m.go": {"PackageName": "main", "UsedImportedStructs": [used("t/d.S"), used("t/d.I"), used("t/d.F"), used("t/d.G")]},
+        "/draw.go": {"PackageName": "draw", "UsedImportedStructs": [used(f"geo.{n}") for n in ("Shape", "Circle", "Union", "Origin")]},
     }))
-    assert out["/m.go"] == '''--- File: /m.go ---
-Package: main
-
-Used Items From Other Packages:
-  Function: t/d.F
-    Comment: Helps
-    Signature: (a int, b string) -> (int, error)
-- t/d.G
-  Interface: t/d.I
-    Comment: An interface.
-    Embeds:
-      - io.Writer
-    Methods:
-      - Do(ctx context.Context) (error)
-        Comment: Acts.
-  Struct: t/d.S
-    Comment: A struct.
+    assert out["/draw.go"].endswith('''Used Items From Other Packages:
+  Struct: geo.Circle
     Fields:
-      - A string
-      - B int
+      - Radius float64
     Methods:
-      - Get() (string)
-'''
+      - Area() (float64)
+        Comment: Area in square metres.
+      - Move(float64, float64)
+- geo.Origin
+  Interface: geo.Shape
+    Comment: Shape has an area.
+    Embeds:
+      - fmt.Stringer
+      - geo.Moving
+    Methods:
+      - Area() (float64)
+  Function: geo.Union
+    Signature: (all []geo.Shape) -> (geo.Shape)
+''')
 
 
 def test_struct_wins_over_interface_and_function(rows):
@@ -101,10 +100,11 @@ def test_struct_wins_over_interface_and_function(rows):
 
 def test_lookup_file(spark, rows):
     context = compose_file_info(rows({"/a.go": {"PackageName": "a"}}))
-    asked = spark.createDataFrame([(1, "/a.go"), (2, "/path/to/nonexistent.go")], "request_id int, file_path string")
+    asked = spark.createDataFrame([(1, "/a.go"), (2, "/a/b.go"), (3, None)], "request_id int, file_path string")
     out = {r.request_id: r for r in lookup_file(asked, context).collect()}
     assert out[1].found and out[1].error is None
-    assert not out[2].found and out[2].error == "file info not found for path: /path/to/nonexistent.go"
+    assert not out[2].found and out[2].text is None and out[2].error == "file info not found for path: /a/b.go"
+    assert not out[3].found
 
 
 def test_serve_requests(spark, rows):
@@ -135,18 +135,18 @@ def test_context_of_requests_equals_whole_context(spark, project):
 
 def test_prompt_messages(rows):
     df = rows({"/p/b.go": {"PackageName": "main", "Structs": [("m.My", "c", [], [])]}, "/p/a.go": {"PackageName": "main"}})
-    plain = {r.ordinal: r for r in prompt_messages(df).collect()}
-    assert sorted(plain) == [0, 1]
-    assert (plain[0].role, plain[0].content) == ("system", SYSTEM_TEXT)
-    body = plain[1].content
-    assert plain[1].role == "user" and body.startswith("Here is the project structure and parsed AST information:\n\n```json\n[") and body.endswith("]\n```")
+    plain = prompt_messages(df).orderBy("ordinal", "part").collect()
+    assert [(r.ordinal, r.part, r.role) for r in plain] == [(0, "", "system"), (1, "0", "user"), (1, "1//p/a.go", "user"), (1, "1//p/b.go", "user"), (1, "2", "user")]
+    assert plain[0].content == SYSTEM_TEXT
+    body = "".join(r.content for r in plain[1:])
+    assert body.startswith("Here is the project structure and parsed AST information:\n\n```json\n[") and body.endswith("]\n```")
     parsed = json.loads(body.split("```json\n")[1].removesuffix("\n```"))
     assert [p["filePath"] for p in parsed] == ["/p/a.go", "/p/b.go"]
     assert parsed[1]["fileInfo"]["Structs"][0]["Name"] == "m.My"
     assert list(parsed[0]) == ["fileInfo", "filePath"]
     more = {r.ordinal: r.content for r in prompt_messages(df, focus="My", minify="true").collect()}
     assert "'My' symbol" in more[2] and more[3] == MINIFY_TEXT
-    assert len(prompt_messages(df, minify="yes").collect()) == 2
+    assert len(prompt_messages(df, minify="yes").collect()) == 5
 
 
 def test_empty_project_gets_the_stub_message(rows):
@@ -155,18 +155,14 @@ def test_empty_project_gets_the_stub_message(rows):
     assert {r.ordinal: r.content for r in prompt_messages(df, focus="X").collect()}[2] == EMPTY_TEXT
 
 
-def test_a_document_beyond_the_limit_stays_in_pieces_that_join_to_the_whole(rows):
-    files = {f"/p/f{i}.go": {"PackageName": f"p{i}"} for i in range(7)}
-    df = rows(files).unionByName(rows({"/q/x.go": {"PackageName": "q"}}, "q"))
-    whole = {r.project: r.text for r in export.project_context_json(df).collect()}
-    split = export.project_context_json(df, limit=400).orderBy("project", "part").collect()
-    assert [r.part for r in split if r.project == "q"] == [""]
-    pieces = [r for r in split if r.project == "p"]
-    assert len(pieces) == 9
-    assert "".join(r.text for r in pieces) == whole["p"]
-    assert len(json.loads(whole["p"])) == 7
-    keyed = json.loads(export.project_json(df).filter("project = 'p'").first().text)
-    assert sorted(keyed) == sorted(files)
+def test_pieces_of_a_document_join_to_valid_json(rows):
+    df = rows({f"/f{i}.go": {"PackageName": f"p{i}", "Imports": ["fmt"]} for i in range(5)}).unionByName(rows({"/g.go": {"PackageName": "g"}}, "q"))
+    pieces = export.project_context_parts(df)
+    assert sorted((r.project, r.part) for r in pieces.collect()) == [("p", "0"), *[("p", f"1//f{i}.go") for i in range(5)], ("p", "2"), ("q", "0"), ("q", "1//g.go"), ("q", "2")]
+    out = {r.project: json.loads(r.text) for r in export.whole(pieces, ["project"]).collect()}
+    assert [x["filePath"] for x in out["p"]] == [f"/f{i}.go" for i in range(5)] and out["q"][0]["fileInfo"]["PackageName"] == "g"
+    by_path = {r.project: json.loads(r.text) for r in export.whole(export.project_json_parts(df), ["project"]).collect()}
+    assert list(by_path["p"]) == [f"/f{i}.go" for i in range(5)]
 
 
 def test_json_keeps_absent_and_empty_apart(infos, project):
@@ -201,17 +197,15 @@ def test_report(project):
     assert text["/testproject/b.go"].count("(None)") == 4
 
 
-def test_package_nodes_and_their_parts(project):
+def test_package_edges_and_nodes(project):
     index = project({
         "a/x.go": 'package a\n\nimport (\n\t"fmt"\n\t"io"\n)\n\nfunc Up() {}\n\nfunc low() {}\n', "a/y.go": 'package a\n\nimport "fmt"\n\nfunc Also() {}\n',
     })
     node = index.package_nodes().first()
     assert (node.PkgPath, node.Functions, node.DependsOn) == ("example.com/testproject/a", ["Also", "Up"], ["fmt", "io"])
     assert node.Files == ["/testproject/a/x.go", "/testproject/a/y.go"]
-    parts = package_nodes(index.facts, max_items=2).collect()
-    assert len(parts) > 1
-    for field in ("Functions", "DependsOn", "Files"):
-        assert sorted(x for p in parts for x in p[field]) == node[field]
+    edges = {(r["list"], r.item) for r in package_edges(index.facts).collect()}
+    assert edges == {(field, x) for field in ("Functions", "DependsOn", "Files") for x in node[field]}
 
 
 def test_written_index_reads_back(project, spark, tmp_path):

@@ -92,8 +92,8 @@ def test_qualify_type(cell, text, shown):
 
 
 @pytest.mark.parametrize("literal, shown", [
-    ("42", "42"), ("1_000", "1000"), ("0x1F", "31"), ("-7", "-7"), ("2.50", "2.5"), ("1.0", "1"), ("3.14159265", ""), ("1 << 3", ""), ("iota", ""),
-    ("true", "true"), ('"a{b"', '"a{b"'), ("`raw`", '"raw"'), ('"' + "x" * 100 + '"', '"' + "x" * 68 + "..."), ("010", ""),
+    ("42", "42"), ("1_000", "1000"), ("0x1F", "31"), ("-7", "-7"), ("2.50", "2.5"), ("1.0", "1"), ("3.14159265358979", "3.14159"), ("1e9", "1e+09"), ("0xFFFFFFFFFFFFFFFF", "18446744073709551615"), ("0b101", "5"), ("0o17", "15"), ("'a'", "97"), (r"'\n'", "10"), (r"'\u00e9'", "233"), ("1e999", ""), ("1 << 3", ""), ("iota", ""),
+    ("true", "true"), ('"a{b"', '"a{b"'), ("`raw`", '"raw"'), ('"' + "x" * 100 + '"', '"' + "x" * 100 + '"'), ("010", "8"),
 ])
 def test_constant_value(cell, literal, shown):
     assert cell(literal, G.constant_value) == shown
@@ -108,8 +108,10 @@ import "x.com/d"
 const (
 	// Own doc.
 	A, B = 1, "s, t" // trailing
-	C
+	C d.Mode = 1 << iota
+	E
 	D d.Kind = 3
+	G
 )
 
 var (
@@ -122,8 +124,8 @@ var (
 var pair, other = two()
 ''')).orderBy("pos").collect()
     assert [(r.name, r.comment, r.type, r.value, r.is_const) for r in rows] == [
-        ("A", "Own doc.", "untyped int", "1", True), ("B", "Own doc.", "untyped string", '"s, t"', True), ("C", "Group doc.", "", "", True),
-        ("D", "Group doc.", "x.com/d.Kind", "3", True),
+        ("A", "Own doc.", "untyped int", "1", True), ("B", "Own doc.", "untyped string", '"s, t"', True), ("C", "Group doc.", "x.com/d.Mode", "2", True),
+        ("E", "Group doc.", "x.com/d.Mode", "4", True), ("D", "Group doc.", "x.com/d.Kind", "3", True), ("G", "Group doc.", "x.com/d.Kind", "3", True),
         ("e", "", "", "call(1, 2)", False), ("f", "", "[]x.com/d.T", "[]d.T{{1}}", False), ("g", "", "map[string]x.com/d.T", "", False),
         ("h", "", "*m.com/p.Local", '&Local{A: "}"}', False), ("k", "", "chan int", "make(chan int, 3)", False),
         ("pair", "", "", "two()", False), ("other", "", "", "", False),
@@ -151,7 +153,7 @@ func run(in ...d.In) (d.Out, error) {
 }
 ''')).orderBy("pos").collect()
     assert [(r.target_pkg[-1], r.target_name, r.kind) for r in rows] == [
-        ("d", "Embedded", "type"), ("d", "Key", "value"), ("2", "Val", "type"), ("d", "In", "type"), ("d", "Out", "value"),
+        ("d", "Embedded", "type"), ("d", "Key", "type"), ("2", "Val", "type"), ("d", "In", "type"), ("d", "Out", "type"),
         ("d", "Make", "type"), ("2", "Call", "call"), ("d", "Value", "value"), ("d", "Conv", "call"),
     ]
 
@@ -193,3 +195,46 @@ def test_very_long_bodies(named):
     assert X.structs(files).select(F.size("fields")).first()[0] == 30_000
     assert X.foreign_names(files).count() == 30_000
     assert X.globals_(files).select(F.length("value")).first()[0] == 300_002
+
+
+def test_deep_values_are_whole(named):
+    deep = "[][][][][][][][][][][][]int{" + "{" * 11 + "1, 2" + "}" * 11 + ", nil}"
+    body = "\n".join("\tfor i := range xs {\n\t\tif i > 2 {\n\t\t\tcall(map[string][]int{\"a\": {1, i}})\n\t\t}\n\t}" for _ in range(40))
+    rows = {r.name: r for r in X.globals_(named(f"package a\n\nvar deep = {deep}\n\nvar act = func() int {{\n{body}\n\treturn 1\n}}\n\nvar p, q = {deep}, two(3)\n")).collect()}
+    assert rows["deep"].value == deep and rows["p"].value == deep and rows["q"].value == "two(3)"
+    assert rows["act"].value == f"func() int {{\n{body}\n\treturn 1\n}}"
+
+
+def test_lists_inside_function_types(named):
+    files = named("""package a
+
+import "x.com/d"
+
+type T struct {
+	Do func(a, b d.K) (n, m int, err error)
+}
+
+func Each(f func(x, y d.K, g func(p, q int) T), rest ...d.K) {}
+
+var hook func(a, b int) error
+""")
+    assert X.structs(files).first().fields[0].Type == "func(a x.com/d.K, b x.com/d.K) (n int, m int, err error)"
+    assert X.functions(files).first().params == ["f func(x x.com/d.K, y x.com/d.K, g func(p int, q int) m.com/p.T)", "rest []x.com/d.K"]
+    assert X.globals_(files).first().type == "func(a int, b int) error"
+
+
+def test_products_are_no_pointers(named):
+    rows = X.foreign_names(named("""package a
+
+import "x.com/d"
+
+func wait(w any) (d.Out, error) {
+	n := 10 * d.Second + 2*d.Minute
+	f := w.(d.Flusher)
+	var m map[d.Key]*d.Val
+	return []*d.Item{}, nil
+}
+""")).orderBy("pos").collect()
+    assert [(r.target_name, r.kind) for r in rows] == [
+        ("Out", "type"), ("Second", "value"), ("Minute", "value"), ("Flusher", "type"), ("Key", "type"), ("Val", "type"), ("Item", "type"),
+    ]

@@ -1,171 +1,120 @@
-"""Whole small projects from source text."""
+"""Whole small projects from source text: a shop, a work queue and a few corner cases."""
 
 
 def names(items):
     return [i["Name"] for i in items]
 
 
-def test_single_file_with_struct_method_and_function(infos):
-    info = infos("test_single_file_with_struct_method_and_function")["main.go"]
-    assert info["PackageName"] == "main"
-    assert info["Imports"] == ["fmt"]
-    assert names(info["Functions"]) == ["main"]
-    assert info["Structs"] == [{
-        "Name": "example.com/testproject.Box", "Comment": "Box holds a label.",
-        "Fields": [{"Name": "Label", "Type": "string"}, {"Name": "Size", "Type": "int"}],
-        "Methods": [{"Name": "Show", "Comment": "Show prints the label.", "Parameters": [], "ReturnTypes": ["string"]}],
-    }]
-    assert info["UsedImportedStructs"] == []
-    assert info["UsedImportedFunctions"] is None
-
-
-def test_foreign_struct_as_parameter(infos):
-    out = infos("test_foreign_struct_as_parameter")
-    assert out["pkg1/types.go"]["Structs"][0]["Name"] == "example.com/testproject/pkg1.Data"
-    user = out["pkg2/consumer.go"]
-    assert user["Imports"] == ["fmt", "example.com/testproject/pkg1"]
-    assert names(user["UsedImportedStructs"]) == ["example.com/testproject/pkg1.Data"]
-    assert user["Functions"][0]["Params"] == ["d example.com/testproject/pkg1.Data"]
-
-
-def test_package_clause_only(infos):
-    info = infos("test_package_clause_only")["empty.go"]
-    assert info["PackageName"] == "empty"
-    assert not any(info[k] for k in info if k != "PackageName")
+SHOP = "example.com/testproject"
 
 
-def test_embedded_fields(infos):
-    info = infos("test_embedded_fields")["main.go"]
-    assert info["Structs"][0]["Fields"] == [
-        {"Name": "Reader", "Type": "io.Reader"}, {"Name": "Writer", "Type": "example.com/testproject.Writer"}, {"Name": "string", "Type": "string"},
-    ]
-    assert names(info["UsedImportedStructs"]) == ["io.Reader"]
-    assert info["Interfaces"][0]["Methods"] == [{"Name": "Write", "Comment": "", "Parameters": ["[]byte"], "ReturnTypes": ["int", "error"]}]
-
-
-def test_interfaces_with_embeds(infos):
-    info = infos("test_interfaces_with_embeds")["iface/iface.go"]
-    assert info["Interfaces"] == [
-        {"Name": "example.com/testproject/iface.Base", "Comment": "First line\nBase does base things.",
-         "Methods": [{"Name": "Do", "Comment": "", "Parameters": ["int"], "ReturnTypes": ["error"]}], "Embeddeds": []},
-        {"Name": "example.com/testproject/iface.Derived", "Comment": "Derived adds more.",
-         "Methods": [{"Name": "More", "Comment": "", "Parameters": ["string"], "ReturnTypes": ["int", "error"]}],
-         "Embeddeds": ["example.com/testproject/iface.Base"]},
+def test_shop_file_info(infos):
+    out = infos("shop")
+    price = out["money/price.go"]
+    assert price["PackageName"] == "money"
+    assert [(g["Name"], g["Type"], g["Value"], g["IsConst"]) for g in price["GlobalVars"]] == [
+        ("Euro", f"{SHOP}/money.Currency", "0", True), ("Dollar", f"{SHOP}/money.Currency", "1", True), ("Yen", f"{SHOP}/money.Currency", "2", True),
+        ("_", "untyped int", "0", True), ("KiB", "untyped int", "2", True), ("MiB", "untyped int", "4", True),
+        ("Rates", f"map[{SHOP}/money.Currency]float64", "map[Currency]float64{Euro: 1.0, Dollar: 1.1}", False),
     ]
+    assert price["Structs"] == [{
+        "Name": f"{SHOP}/money.Amount", "Comment": "Amount is so many units.\n\nNever negative.",
+        "Fields": [{"Name": "Units", "Type": "int64"}, {"Name": "Of", "Type": f"{SHOP}/money.Currency"}],
+        "Methods": [
+            {"Name": "Plus", "Comment": "Plus adds.", "Parameters": [f"[]{SHOP}/money.Amount"], "ReturnTypes": [f"{SHOP}/money.Amount"]},
+            # In another file of the package: known, but without its comment.
+            {"Name": "Format", "Comment": "", "Parameters": ["io.Writer", f"func(unit string, n int64) {SHOP}/money.Amount"], "ReturnTypes": ["int", "error"]},
+        ],
+    }]
+    assert names(out["money/print.go"]["UsedImportedStructs"]) == ["io.Writer"]
 
 
-MAIN = '''
-package main
-
-import (
-	"example.com/testproject/internal/lib"
-)
-
-%s
-'''
-
-
-def test_used_struct_text(contexts):
-    out = contexts("test_used_struct_text")
-    assert out["main.go"] == '''--- File: /testproject/main.go ---
-Package: main
-
-Imports:
-- example.com/testproject/internal/lib
+def test_shop_cart_uses_other_packages(infos):
+    cart = infos("shop")["cart/cart.go"]
+    assert cart["Imports"] == ["sort", "time", f"{SHOP}/money"]
+    assert names(cart["UsedImportedStructs"]) == [f"{SHOP}/money.Amount", f"{SHOP}/money.Currency", "time.Duration", "time.Month"]
+    assert [(f["Name"], f["Params"], f["Returns"]) for f in cart["Functions"]] == [
+        ("Total", ["items []example.com/testproject/cart.Item", f"in {SHOP}/money.Currency"], [f"{SHOP}/money.Amount", "error"]),
+        ("wait", [f"each func(n int, month time.Month) {SHOP}/money.Amount"], ["time.Duration"]),
+    ]
+    # '10 * time.Minute' multiplies a value; nothing else of that package is a value here.
+    assert names(cart["UsedImportedGlobalVars"]) == [f"{SHOP}/money.Euro", "sort.Ints", "time.Minute"]
+    assert names(cart["UsedImportedFunctions"]) == [f"{SHOP}/money.Parse"]
 
-Functions:
-  Function: main
-    Signature: ()
 
-Global Variables/Constants:
-  Var: _ example.com/testproject/internal/lib.Thing
+def test_shop_cart_text(contexts):
+    assert contexts("shop")["cart/cart.go"].split("Used Items From Other Packages:\n")[1] == f'''  Struct: {SHOP}/money.Amount
+    Comment: Amount is so many units.
 
-Used Items From Other Packages:
-  Struct: example.com/testproject/internal/lib.Thing
-    Comment: Thing is a test struct.
+Never negative.
     Fields:
-      - ID int
-      - Name string
+      - Units int64
+      - Of {SHOP}/money.Currency
     Methods:
-      - Act() (string)
+      - Plus([]{SHOP}/money.Amount) ({SHOP}/money.Amount)
+        Comment: Plus adds.
+      - Format(io.Writer, func(unit string, n int64) {SHOP}/money.Amount) (int, error)
+- {SHOP}/money.Currency
+- time.Duration
+- time.Month
+  Function: {SHOP}/money.Parse
+    Comment: Parse reads "3 EUR".
+    Signature: (text string) -> ({SHOP}/money.Amount, error)
+  Const: {SHOP}/money.Euro {SHOP}/money.Currency = 0
+    Comment: Known currencies.
+  Var: sort.Ints 
+  Var: time.Minute 
 '''
-    assert "Local Structs:\n  Struct: example.com/testproject/internal/lib.Other" in out["internal/lib/lib.go"]
-    assert "      - Value bool\n" in out["internal/lib/lib.go"]
 
 
-def test_used_function_text(contexts):
-    out = contexts("test_used_function_text")
-    assert out["main.go"].endswith('''Used Items From Other Packages:
-  Function: example.com/testproject/internal/lib.Add
-    Comment: Add adds.
-    Signature: (a int, b int) -> (int, error)
-''')
-
-
-def test_used_globals_text(contexts):
-    out = contexts("test_used_globals_text")
-    assert '''Used Items From Other Packages:
-  Const: example.com/testproject/internal/lib.Answer untyped int = 42
-    Comment: Answer is a constant.
-  Var: example.com/testproject/internal/lib.Word string = "foo"
-    Comment: Word is a variable.
-''' in out["main.go"]
-    assert '''Global Variables/Constants:
-  Const: Answer untyped int = 42
-    Comment: Answer is a constant.
-  Var: Word string = "foo"
-    Comment: Word is a variable.
-''' in out["internal/lib/lib.go"]
-
-
-def test_used_interface_text(contexts):
-    out = contexts("test_used_interface_text")
-    assert out["main.go"].endswith('''Used Items From Other Packages:
-  Interface: example.com/testproject/internal/lib.ReadCloser
-    Comment: ReadCloser embeds another interface.
-    Embeds:
-      - example.com/testproject/internal/lib.Reader
-      - io.Closer
-    Methods:
-      - CloseThis() (error)
-''')
-    assert "      - Read([]byte) (int, error)\n" in out["internal/lib/lib.go"]
-    assert "Used Items From Other Packages:\n- io.Closer\n" in out["internal/lib/lib.go"]
+def test_queue_interfaces_and_embedding(infos, contexts):
+    info = infos("queue")["work/queue.go"]
+    w = f"{SHOP}/work"
+    assert [(i["Name"], i["Embeddeds"], [(m["Name"], m["Parameters"], m["ReturnTypes"]) for m in i["Methods"]]) for i in info["Interfaces"]] == [
+        (f"{w}.Job", ["fmt.Stringer", f"{w}.Named"], [("Retry", ["int", "error"], ["bool"]), ("Run", ["context.Context"], ["map[string][]byte", "error"])]),
+        (f"{w}.Named", [], [("Name", [], ["string"])]),
+    ]
+    assert info["Structs"][0]["Fields"] == [
+        {"Name": "Mutex", "Type": "*sync.Mutex"}, {"Name": "Named", "Type": f"{w}.Named"}, {"Name": "jobs", "Type": f"chan {w}.Job"},
+        {"Name": "low", "Type": "int"}, {"Name": "high", "Type": "int"}, {"Name": "done", "Type": f"func(j {w}.Job, err error)"},
+    ]
+    assert names(info["UsedImportedStructs"]) == ["context.Context", "fmt.Stringer", "sync.Mutex"]
+    text = contexts("queue")["work/queue.go"]
+    assert "    Embeds:\n      - fmt.Stringer\n      - " in text and text.index("Local Structs:") < text.index("Local Interfaces:")
 
 
-def test_init_only_has_no_struct_section(contexts):
-    text = contexts("test_init_only_has_no_struct_section")["main.go"]
-    assert "Package: main" in text and "Function: init" in text
-    assert "Local Structs:" not in text and "Used Items" not in text
+def test_nothing_but_a_clause(infos, contexts):
+    info = infos("clause")["doc/doc.go"]
+    assert info.pop("PackageName") == "doc" and not any(info.values())
+    text = contexts("clause")["boot/boot.go"]
+    assert "Function: init" in text and "Local Structs:" not in text and "Used Items" not in text
 
 
 def test_strict_keeps_comments_of_methods_in_other_files(infos):
-    files = {"a.go": "package p\n\ntype T struct{}\n", "b.go": "package p\n\n// Run runs.\nfunc (t T) Run() {}\n"}
-    assert infos(files)["a.go"]["Structs"][0]["Methods"][0]["Comment"] == ""
-    assert infos(files, strict=True)["a.go"]["Structs"][0]["Methods"][0]["Comment"] == "Run runs."
+    files = {"lexer.go": "package lex\n\ntype Lexer struct{}\n", "next.go": "package lex\n\n// Next reads a token.\nfunc (l *Lexer) Next() {}\n"}
+    assert infos(files)["lexer.go"]["Structs"][0]["Methods"][0]["Comment"] == ""
+    assert infos(files, strict=True)["lexer.go"]["Structs"][0]["Methods"][0]["Comment"] == "Next reads a token."
 
 
 def test_import_named_by_its_package_clause(contexts):
-    out = contexts("test_import_named_by_its_package_clause")
-    assert "  Function: example.com/testproject/go-lib.Run\n" in out["main.go"]
+    assert f"  Function: {SHOP}/go-token.Scan\n" in contexts("clause")["cmd/tool.go"]
 
 
 def test_typed_global_brings_its_type(contexts):
-    out = contexts("test_typed_global_brings_its_type")
-    assert out["main.go"].endswith('''Used Items From Other Packages:
-  Struct: example.com/testproject/lib.Kind
-    Comment: Kind is a kind.
-  Var: example.com/testproject/lib.Mode example.com/testproject/lib.Kind
+    assert contexts("typed")["cmd/run.go"].endswith(f'''Used Items From Other Packages:
+  Struct: {SHOP}/level.Level
+    Comment: Level of noise.
+  Var: {SHOP}/level.Current {SHOP}/level.Level
 ''')
 
 
 def test_external_symbols_describe_outside_names(spark, contexts):
     outside = spark.createDataFrame(
-        [("time.Second", "value", "time.Duration", "1000000000", True)],
+        [("math.Pi", "value", "math.Real", "3.14159", True)],
         "fq_name string, kind string, ext_type string, ext_value string, ext_is_const boolean",
     )
-    out = contexts({"main.go": 'package main\n\nimport "time"\n\nvar x = time.Second\n'}, external_symbols=outside)
-    assert out["main.go"].endswith("Used Items From Other Packages:\n- time.Duration\n  Const: time.Second time.Duration = 1000000000\n")
+    out = contexts({"area.go": 'package area\n\nimport "math"\n\nvar half = math.Pi / 2\n'}, external_symbols=outside)
+    assert out["area.go"].endswith("Used Items From Other Packages:\n- math.Real\n  Const: math.Pi math.Real = 3.14159\n")
 
 
 def test_names_do_not_resolve_across_projects(spark, tmp_path):
@@ -173,149 +122,150 @@ def test_names_do_not_resolve_across_projects(spark, tmp_path):
     from conftest import SOURCE
 
     rows = [
-        ("p", "example.com/p", "a.go", "/p/a.go", 'package a\n\nimport "example.com/q/lib"\n\nvar _ lib.T\n'),
-        ("q", "example.com/q", "lib/l.go", "/q/lib/l.go", "package lib\n\ntype T struct{}\n"),
+        ("one", "example.com/one", "see.go", "/one/see.go", 'package see\n\nimport "example.com/two/tree"\n\nvar root tree.Node\n'),
+        ("two", "example.com/two", "tree/node.go", "/two/tree/node.go", "package tree\n\ntype Node struct{}\n"),
     ]
     out = {r.file_path: r.text for r in extract(spark.createDataFrame(rows, SOURCE), folder=str(tmp_path)).context().collect()}
-    assert out["/p/a.go"].endswith("Used Items From Other Packages:\n- example.com/q/lib.T\n")
+    assert out["/one/see.go"].endswith("Used Items From Other Packages:\n- example.com/two/tree.Node\n")
 
 
 def test_clash_takes_first_function_and_last_struct(contexts):
-    out = contexts("test_clash_takes_first_function_and_last_struct")["main.go"]
-    assert "Comment: second\n" in out and "Comment: first F\n" in out
-    assert "Comment: first\n" not in out and "second F" not in out
+    out = contexts("typed")["cmd/clash.go"]
+    assert "Comment: from b\n" in out and "Comment: Make of a\n" in out
+    assert "Comment: from a\n" not in out and "Make of b" not in out
 
 
-# Files of the tests above; all of them are indexed in one go, each as a project of its own.
-CASES = {
-    "test_single_file_with_struct_method_and_function": {"main.go": '''package main
+def test_bad_files_are_reported_and_left_out(spark, tmp_path):
+    from codeloom import extract
+    from conftest import SOURCE
 
-import "fmt"
+    rows = [
+        ("p", "example.com/p", "good.go", "/p/good.go", "package p\n\nfunc F() {}\n"), ("p", "example.com/p", "cut.go", "/p/cut.go", "package p\n\nfunc G() {\n"),
+        ("p", "example.com/p", "none.go", "/p/none.go", None), ("p", "example.com/p", "bare.go", "/p/bare.go", "func H() {}\n"),
+    ]
+    index = extract(spark.createDataFrame(rows, SOURCE), folder=str(tmp_path))
+    assert {r.file_path: r.error for r in index.errors().collect()} == {
+        "/p/cut.go": "unbalanced braces", "/p/none.go": "empty file", "/p/bare.go": "missing package clause",
+    }
+    assert [r.file_path for r in index.context().collect()] == ["/p/good.go"]
 
-// Box holds a label.
-type Box struct{
-	Label string
-	Size int
-}
 
-// Show prints the label.
-func (b *Box) Show() string {
-	fmt.Println("x")
-	return b.Label
-}
+# Files of the tests above; all of them are indexed in one go, each as a project of its own.
+CASES = {
+    "shop": {
+        "money/price.go": '''package money
 
-func main(){
-	_ = Box{}
-}
-'''},
-    "test_foreign_struct_as_parameter": {
-        "pkg1/types.go": "package pkg1\n\n// Data struct\ntype Data struct {\n\tValue string\n}\n",
-        "pkg2/consumer.go": '''package pkg2
+// Currency numbers the known ones.
+type Currency int
 
-import (
-	"fmt"
-	"example.com/testproject/pkg1"
+// Known currencies.
+const (
+	Euro Currency = iota
+	Dollar
+	Yen
 )
 
-// Process handles data.
-func Process(d pkg1.Data) {
-	fmt.Println(d.Value)
-}
-''',
-    },
-    "test_package_clause_only": {"empty.go": "package empty"},
-    "test_embedded_fields": {"main.go": '''package main
+const (
+	_ = iota * 2
+	KiB
+	MiB
+)
 
-import "io"
+// Rates to one euro.
+var Rates = map[Currency]float64{Euro: 1.0, Dollar: 1.1}
 
-// Both struct
-type Both struct {
-	io.Reader
-	Writer
-	string
+// Amount is so many units.
+//
+// Never negative.
+type Amount struct {
+	Units int64
+	Of    Currency
 }
 
-// Writer interface
-type Writer interface {
-	Write([]byte) (int, error)
+// Plus adds.
+func (a Amount) Plus(more ...Amount) Amount {
+	return a
 }
-'''},
-    "test_interfaces_with_embeds": {"iface/iface.go": '''package iface
 
-// First line
-// Base does base things.
-type Base interface {
-	Do(x int) error
+// Parse reads "3 EUR".
+func Parse(text string) (Amount, error) {
+	return Amount{}, nil
 }
+''',
+        "money/print.go": '''package money
 
-// Derived adds more.
-type Derived interface {
-	Base
-	More(y string) (int, error)
-}
-'''},
-    "test_used_struct_text": {
-        "main.go": MAIN % "func main() {\n\tvar _ lib.Thing\n}",
-        "internal/lib/lib.go": '''
-package lib
-
-// Thing is a test struct.
-type Thing struct {
-	ID   int
-	Name string
-}
+import "io"
 
-// Other is only used here.
-type Other struct{
-	Value bool
+// Format writes with a rounding.
+func (a Amount) Format(w io.Writer, round func(unit string, n int64) Amount) (int, error) {
+	return 0, nil
 }
+''',
+        "cart/cart.go": f'''package cart
 
-func (s *Thing) Act() string {
-	return "hello"
-}
+import (
+	"sort"
+	"time"
+
+	"{SHOP}/money"
+)
+
+type Item struct {{
+	Price money.Amount
+	Seen  map[time.Month]int
+}}
+
+// Total of all items.
+func Total(items []Item, in money.Currency) (money.Amount, error) {{
+	_ = sort.Ints
+	if in == money.Euro {{
+		return money.Parse("1 EUR")
+	}}
+	return items[0].Price, nil
+}}
+
+func wait(each func(n int, month time.Month) money.Amount) (left time.Duration) {{
+	return 10 * time.Minute
+}}
 ''',
     },
-    "test_used_function_text": {
-        "main.go": MAIN % "func main() {\n\tlib.Add(4, 8)\n\tlib.Add(1, 2)\n}",
-        "internal/lib/lib.go": "\npackage lib\n\n// Add adds.\nfunc Add(a, b int) (int, error) {\n\treturn a + b, nil\n}\n",
-    },
-    "test_used_globals_text": {
-        "main.go": MAIN % "var _, _ = lib.Answer, lib.Word\n\nfunc main() {\n\n}",
-        "internal/lib/lib.go": '\npackage lib\n\n// Answer is a constant.\nconst Answer = 42\n\n// Word is a variable.\nvar Word = "foo"\n',
-    },
-    "test_used_interface_text": {
-        "main.go": MAIN % "func main() {\n\tvar _ lib.ReadCloser\n}",
-        "internal/lib/lib.go": '''
-package lib
+    "queue": {"work/queue.go": '''package work
 
-import "io"
+import (
+	"context"
+	"fmt"
+	"sync"
+)
 
-// Reader is a test interface.
-type Reader interface {
-	Read(p []byte) (n int, err error)
+type Queue struct {
+	*sync.Mutex
+	Named
+	jobs      chan Job
+	low, high int
+	done      func(j Job, err error)
 }
 
-// ReadCloser embeds another interface.
-type ReadCloser interface {
-	Reader
-	io.Closer
-	// CloseThis closes.
-	CloseThis() error
+type Named interface{ Name() string }
+
+// Job is one piece of work.
+type Job interface {
+	fmt.Stringer
+	Named
+	Run(ctx context.Context) (found map[string][]byte, err error)
+	Retry(times int, last error) bool
 }
-''',
-    },
-    "test_init_only_has_no_struct_section": {"main.go": "package main\nfunc init(){}\n"},
-    "test_import_named_by_its_package_clause": {
-        "main.go": 'package main\n\nimport "example.com/testproject/go-lib"\n\nfunc main() {\n\tlib.Run()\n}\n',
-        "go-lib/lib.go": "package lib\n\n// Run runs.\nfunc Run() {}\n",
-    },
-    "test_typed_global_brings_its_type": {
-        "main.go": 'package main\n\nimport "example.com/testproject/lib"\n\nvar x = lib.Mode\n',
-        "lib/lib.go": "package lib\n\n// Kind is a kind.\ntype Kind struct{}\n\nvar Mode Kind\n",
+'''},
+    "clause": {
+        "doc/doc.go": "// Package doc has no code.\npackage doc\n",
+        "boot/boot.go": "package boot\n\nfunc init() {\n\tprintln(1)\n}\n",
+        "cmd/tool.go": f'package cmd\n\nimport "{SHOP}/go-token"\n\nfunc Tool() {{\n\ttoken.Scan()\n}}\n',
+        "go-token/scan.go": "package token\n\n// Scan scans.\nfunc Scan() {}\n",
     },
-    "test_clash_takes_first_function_and_last_struct": {
-        "main.go": 'package main\n\nimport "example.com/testproject/lib"\n\nvar _ lib.T\n\nfunc main() {\n\tlib.F()\n}\n',
-        "lib/a.go": "package lib\n\n// first\ntype T struct{}\n\n// first F\nfunc F() {}\n",
-        "lib/b.go": "package lib\n\n// second\ntype T struct{}\n\n// second F\nfunc F() {}\n",
+    "typed": {
+        "cmd/run.go": f'package cmd\n\nimport "{SHOP}/level"\n\nvar noise = level.Current\n',
+        "level/level.go": "package level\n\n// Level of noise.\ntype Level struct{}\n\nvar Current Level\n",
+        "cmd/clash.go": f'package cmd\n\nimport "{SHOP}/twice"\n\nvar one twice.Box\n\nfunc box() {{\n\ttwice.Make()\n}}\n',
+        "twice/a.go": "package twice\n\n// from a\ntype Box struct{}\n\n// Make of a\nfunc Make() {}\n",
+        "twice/b.go": "package twice\n\n// from b\ntype Box struct{}\n\n// Make of b\nfunc Make() {}\n",
     },
 }

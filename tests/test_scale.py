@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import extract, load_modules, load_source_corpus
-from codeloom.operators import skew
 from codeloom.operators.extract import parse_files
 from codeloom.operators.resolve import resolve_uses
 from codeloom.operators.uses import used_functions, used_globals, used_types
@@ -12,48 +11,8 @@ from codeloom.schemas import Facts
 from codeloom.sources import corpus, index_store
 
 
-@pytest.fixture()
-def hot_left(spark):
-    # One key holds a third of all rows, one is null, the rest are spread.
-    return spark.range(9000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"), "id",
-    )
-
-
-@pytest.fixture()
-def right(spark):
-    return spark.range(400).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v")).unionByName(spark.sql("select 'hot' k, -1L v"))
-
-
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_hot_join_equals_plain_join(hot_left, right, how):
-    plain = sorted(map(str, hot_left.join(right, ["k"], how).collect()))
-    salted = sorted(map(str, skew.hot_join(hot_left, right, ["k"], ["id"], how=how, min_rows=100).collect()))
-    assert salted == plain
-
-
-def test_hot_key_is_sliced_and_no_other(hot_left):
-    rows = skew.hot_keys(hot_left, ["k"], 100).collect()
-    assert [(r.k, r._salts) for r in rows] == [("hot", 30)]
-
-
-def test_small_scans_join_plainly(spark, hot_left, right, tmp_path):
-    hot_left.write.parquet(str(tmp_path / "l"))
-    small = spark.read.parquet(str(tmp_path / "l"))
-    assert skew.scan_bytes(small) < skew.SMALL_SCAN_BYTES
-    assert "_salt" not in skew.hot_join(small, right, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_group_parts_folds_small_and_spreads_big(hot_left):
-    out = skew.group_parts(hot_left.dropna(), ["k"], F.lit(1), 1000, (F.col("id") % 7).cast("string"), ["id"])
-    parts = {(r.k, r.part): r.n for r in out.groupBy("k", "part").agg(F.count("*").alias("n")).collect()}
-    assert sorted(p for k, p in parts if k == "hot") == [str(i) for i in range(7)]
-    assert all(p == "" for k, p in parts if k != "hot")
-    assert sum(parts.values()) == hot_left.dropna().count()
-
-
-def test_everything_resolves_the_same_when_salted(spark, monkeypatch):
-    """A hot name used by every file: the salted plan gives what the plain one gives."""
+def test_everything_resolves_the_same_when_hot_names_are_split(spark):
+    """A hot name used by every file: split by adaptive execution, it gives what the plain plan gives."""
     names = "project string, pkg_path string, file_path string, "
     uses = spark.range(600).select(
         F.lit("p").alias("project"), F.lit("m/a").alias("pkg_path"), F.concat(F.lit("/f"), F.col("id") % 50).alias("file_path"), F.col("id").alias("pos"),
@@ -67,12 +26,17 @@ def test_everything_resolves_the_same_when_salted(spark, monkeypatch):
         decl_func=decls, decl_struct=decls.withColumn("name", F.col("fq_name")), decl_iface=decls.limit(0), decl_global=decls, use_ref=uses,
     )
     steps = (resolve_uses, used_types, used_functions, used_globals)
-    monkeypatch.setattr(skew, "SMALL_SCAN_BYTES", 1 << 70)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     plain = [sorted(map(str, s(facts).collect())) for s in steps]
-    monkeypatch.setattr(skew, "SMALL_SCAN_BYTES", -1)
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 20)
-    assert [sorted(map(str, s(facts).collect())) for s in steps] == plain
     assert all(plain)
+    small = {"enabled": "true", "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.0", "advisoryPartitionSizeInBytes": "1k", "autoBroadcastJoinThreshold": "-1"}
+    for key, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{key}", value)
+    try:
+        assert [sorted(map(str, s(facts).collect())) for s in steps] == plain
+    finally:
+        for key in small:
+            spark.conf.unset(f"spark.sql.adaptive.{key}")
 
 
 FILES = {
@@ -110,6 +74,19 @@ def test_load_from_folder(spark, tree, tmp_path):
     assert text.endswith("  Function: example.com/top/lib.Run\n    Comment: Run runs.\n    Signature: ()\n")
 
 
+def test_a_root_below_an_odd_folder_and_files_outside_modules(spark, tmp_path, monkeypatch):
+    root = tmp_path / "vendor" / "_a b%+c"
+    for name, text in {"in/go.mod": "module example.com/in\n", "in/x.go": "package x\n", "loose/l.go": "package l\n", "in/vendor/v.go": "package v\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    monkeypatch.chdir(root)
+    files = load_source_corpus(spark, str(root) + "/")
+    index = extract(files, load_modules(spark, str(root)), folder=str(tmp_path / "index"))
+    assert [r.file_path for r in index.facts.go_file.collect()] == [f"{root}/in/x.go"]
+    assert [(r.project, r.file_path, r.error) for r in index.errors().collect()] == [(None, f"{root}/loose/l.go", "no module")]
+    assert index.status(spark.createDataFrame([(f"{root}/in",), ("/none",)], "project string")).filter("status = 'ok'").count() == 1
+
+
 def test_errors_are_kept_aside(spark):
     rows = [("a", "package a\n\nvar s = \"{\"\n"), ("b", ""), ("c", "func x() {}\n"), ("d", "package d\n\nfunc x() {\n"), ("e", None), ("f", "// package f\n")]
     good, bad = corpus.quarantine(spark.createDataFrame(rows, "file_path string, content string"))
