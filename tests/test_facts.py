@@ -75,7 +75,7 @@ def test_what_a_used_type_name_may_stand_for(rows):
     Methods:
       - Area() (float64)
         Comment: Area in square metres.
-      - Move(float64, float64)
+      - Move(float64, float64) ()
 - geo.Origin
   Interface: geo.Shape
     Comment: Shape has an area.
