@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from codeloom.llm.arrays import chunks, found, lowered, mix, words
 from codeloom.llm.store import column, written
 
-#: Relative frequencies (of all training tokens) that decide where a token's count is kept.  Each bounds a table by its inverse:
-#: tokens looked up in the task, tokens that are histories or follow one, and arcs of the automaton.
-LOOKED_UP, HISTORY, ARC = 2.5e-7, 1e-5, 1e-6
+#: A bigram seen as often is an arc, at every size of corpus.
+LEAST = 2
+#: Relative frequencies (of all training tokens) from which on tokens with their states, and arcs, are broadcast as a first
+#: tier.  Each bounds its table by the inverse; what is rarer is found by a join, so they decide nothing about the scores.
+LOOKED_UP, ARC = 2.5e-7, 1e-6
+#: Most bits of the table that tells which pairs are worth asking for; when it is full more are asked for, with the same scores.
+BITS = 1 << 29
 END = np.uint64(0x5E4D0F7E47)
-#: The automaton's root, which has no history.
-ROOT = -1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,44 @@ def _task_counts(pick):
     return run
 
 
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(mix(before + np.uint64(1)) ^ after)
+
+
+def _inner(rows: np.ndarray) -> np.ndarray:
+    """Places of tokens that have another one before them in their row."""
+    return np.flatnonzero(rows[1:] == rows[:-1]) + 1
+
+
+def _pair_counts(batches):
+    """Rows ``(before, after, n)`` of one task, counted over some two million tokens at a time."""
+
+    def counted(held):
+        before, after = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64),) * 2
+        _, first, n = np.unique(_pair_keys(before, after), return_index=True, return_counts=True)
+        for i in range(0, len(first), 100_000):
+            here = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([_signed(before[first[here]]), _signed(after[first[here]]), pa.array(n[here])], ["before", "after", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for _, data, offsets in chunks(batch.column("text")):
+            rows, hashes = tokens(data, offsets)
+            at = _inner(rows)
+            held.append((hashes[at - 1], hashes[at]))
+            size += len(at)
+            if size > 2_000_000:
+                yield from counted(held)
+                held, size = [], 0
+    yield from counted(held)
+
+
+def _keyed(batches):
+    for batch in batches:
+        before, after = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "after"))
+        yield pa.RecordBatch.from_arrays([_signed(_pair_keys(before, after)), *batch.columns], ["key", *batch.schema.names])
+
+
 def _sorted(df: DataFrame, *names: str) -> list[np.ndarray]:
     pdf = df.select("key", *names).toPandas()
     keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
@@ -75,11 +115,14 @@ def _sorted(df: DataFrame, *names: str) -> list[np.ndarray]:
 
 @dataclass
 class Automaton:
-    """States are the root and the histories; arcs carry log10 probabilities, the failure arc of a state its backoff weight.
+    """The frequent part of the automaton, which tasks have at hand; its states are the root and the tokens.
 
     P(w) = (c - d) / N for a token that was seen and d V / N for all others together; d = n1 / (n1 + 2 n2).
-    P(w | h) = (c(h w) - 3/4) / c(h) on an arc, else backoff(h) P(w), where backoff(h) gives what the arcs leave over to
-    the tokens that have no arc; so each state's probabilities add up to 1.
+    P(w | h) = (c(h w) - 3/4) / c(h) on an arc, which every bigram seen LEAST times is, else backoff(h) P(w), where
+    backoff(h) gives what the arcs leave over to the tokens that have no arc; so each state's probabilities add up to 1.
+
+    An arc's weight is what it has over the failure path, log10 P(w | h) - log10 (backoff(h) P(w)).  So a text's score is
+    the sum over its tokens' unigram and backoff weights and its arcs' weights, wherever each of them is kept.
     """
 
     n: int
@@ -87,10 +130,10 @@ class Automaton:
     discount: float
     looked_up: np.ndarray  # sorted hashes of frequent tokens
     counts: np.ndarray
-    inner: np.ndarray  # sorted hashes of tokens that arcs start from or lead to; a place in here is a state
-    backoff: np.ndarray  # log10, 0 for a state without arcs
-    arcs: np.ndarray  # sorted: state * len(inner) + place of the token
-    weights: np.ndarray  # log10
+    backoff: np.ndarray  # log10 of the failure arc of the token's state, 0 for a state without arcs
+    arcs: np.ndarray  # sorted keys of frequent pairs
+    weights: np.ndarray  # log10 over the failure path
+    bits: np.ndarray  # a bit for the end of each other arc's key; a pair without one is no arc
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         if not self.n:
@@ -101,58 +144,57 @@ class Automaton:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + (self.types + 1)))
 
-    def traverse(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(weight, fell back)`` of each token, left to right through all rows at once.
+    def traverse(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(weight, places, keys)``: each token's arc weight, and the pairs that may be arcs that are not at hand.
 
-        Having read a token the automaton stands in that token's state if it has one, else in the root; a row begins in the
-        root.  A token without an arc takes the failure arc and leaves its own probability to be added.
+        Having read a token the automaton stands in that token's state; a row begins in the root.  A pair is named by the
+        place of its second token and its key.
         """
-        place, known = found(self.inner, hashes)
-        before = np.full(len(place), ROOT)
-        before[1:] = np.where((rows[1:] == rows[:-1]) & known[:-1], place[:-1], ROOT)
-        weight, back = np.zeros(len(hashes)), np.ones(len(hashes), bool)
-        inner = np.flatnonzero(before != ROOT)
-        weight[inner] = self.backoff[before[inner]] if len(inner) else 0.0
-        inner = inner[known[inner]]
-        at, hit = found(self.arcs, before[inner] * len(self.inner) + place[inner])
-        weight[inner[hit]] = self.weights[at[hit]]
-        back[inner[hit]] = False
-        return weight, back
-
-
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton and all token counts ``(key, n)`` from every row's text."""
+        weight, place = np.zeros(len(hashes)), _inner(rows)
+        keys = _pair_keys(hashes[place - 1], hashes[place])
+        at, hit = found(self.arcs, keys)
+        weight[place[hit]] = self.weights[at[hit]]
+        place, keys = place[~hit], keys[~hit]
+        slot = keys & np.uint64(64 * len(self.bits) - 1)
+        maybe = (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return weight, place[maybe], keys[maybe]
+
+
+def _bits(arcs: DataFrame) -> np.ndarray:
+    size = min(BITS, max(64, 1 << (8 * arcs.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(size - 1).cast("long"))
+    per_word = arcs.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[per_word.column("word").to_numpy()] = per_word.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def train(docs: DataFrame) -> tuple[Automaton, DataFrame, DataFrame]:
+    """The frequent part, and all of the automaton: states ``(key, n, backoff)`` and arcs ``(key, n, weight)`` of every row's text."""
     text = docs.select("text")
-    spark = docs.sparkSession
     counted = text.mapInArrow(_task_counts(lambda d, o: tokens(d, o)[1]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counted = written(counted, "lm-tokens")
     total, types, n1, n2 = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     d = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = min(max(d, 0.05), 0.95)
-    looked_up, counts = _sorted(counted.filter(F.col("n") >= F.lit(LOOKED_UP * total)), "n")
-    counts = counts.astype(np.int64)
-    inner = looked_up[counts >= max(2, HISTORY * total)]
-    shared = spark.sparkContext.broadcast(inner)
-
-    def pairs(data, offsets):
-        rows, hashes = tokens(data, offsets)
-        place, known = found(shared.value, hashes)
-        both = np.flatnonzero((rows[1:] == rows[:-1]) & known[1:] & known[:-1])
-        return (place[both] * len(shared.value) + place[both + 1]).astype(np.uint64)
-
-    arcs = text.mapInArrow(_task_counts(pairs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(max(2, ARC * total)))
-    arc_keys, arc_counts = _sorted(arcs, "n")
-    arc_keys, size = arc_keys.view(np.int64), max(len(inner), 1)
-    c_of = counts[np.searchsorted(looked_up, inner)]
-    history, token = arc_keys // size, arc_keys % size
-    p = (arc_counts - 0.75) / c_of[history] if len(inner) else np.zeros(0)
-    taken = np.bincount(history, p, len(inner))
-    covered = np.bincount(history, (c_of[token] - d) / max(total, 1), len(inner)) if len(inner) else np.zeros(0)
-    backoff = np.where(taken > 0, np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - covered, 1e-12)), 0.0)
-    return Automaton(int(total), int(types), d, looked_up, counts, inner, backoff, arc_keys, np.log10(p)), counted
-
-
-PARTS = "uid long, doc_id long, held_out boolean, head boolean, key long, n long, known long, base double, score double"
+    pairs = text.mapInArrow(_pair_counts, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    arcs = written(pairs.join(counted.select(F.col("key").alias("after"), F.col("n").alias("c_after")), "after").select("before", "after", "n", "c_after"), "lm-pairs")
+    sums = arcs.groupBy(F.col("before").alias("key")).agg(F.sum(F.col("n") - 0.75).alias("taken"), F.sum(F.col("c_after") - F.lit(d)).alias("covered"))
+    left, rest = 1 - F.col("taken") / F.col("n"), 1 - F.col("covered") / F.lit(float(max(total, 1)))
+    backoff = F.coalesce(F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(rest, F.lit(1e-12))), F.lit(0.0))
+    states = written(counted.join(sums, "key", "left").select("key", "n", backoff.alias("backoff")), "lm-states")
+    of_state = states.select(F.col("key").alias("before"), F.col("n").alias("c"), "backoff")
+    weight = F.log10((F.col("n") - 0.75) / F.col("c")) - F.col("backoff") - F.log10((F.col("c_after") - F.lit(d)) / F.lit(float(max(total, 1))))
+    weighed = arcs.join(of_state, "before").select("before", "after", "n", weight.alias("weight")).mapInArrow(_keyed, "key long, before long, after long, n long, weight double")
+    arcs = written(weighed.select("key", "n", "weight"), "lm-arcs")
+    looked_up, counts, backs = _sorted(states.filter(F.col("n") >= F.lit(LOOKED_UP * total)), "n", "backoff")
+    frequent, _, weights = _sorted(arcs.filter(F.col("n") >= F.lit(ARC * total)), "n", "weight")
+    return Automaton(int(total), int(types), d, looked_up, counts.astype(np.int64), backs.astype(float), frequent, weights.astype(float), _bits(arcs.filter(F.col("n") < F.lit(ARC * total)))), states, arcs
+
+
+#: A part is a document's head, one of its rare tokens or one of its rare pairs.
+HEAD, TOKEN, PAIR = range(3)
+PARTS = "uid long, doc_id long, held_out boolean, kind byte, key long, n long, known long, base double, score double"
 
 
 def seventh(docs: DataFrame):
@@ -166,14 +208,28 @@ def score(docs: DataFrame) -> DataFrame:
     Trained on all rows whose crc32(doc_id) mod 7 is not 2.  Null text is empty: one token, the end.  With nothing to learn
     from, every token has probability 1 under either model.  A row takes part once for each time it stands in the table.
 
-    The automaton is broadcast; its tables are bounded by frequency (see the constants), whatever the corpus.  The counts
-    of all other tokens stay distributed: a task sends each rare token of a document once, joins its count, and adds
-    its probability at the places where the traversal had fallen back to the root.
+    Every bigram seen LEAST times in training is an arc, whatever the corpus.  Frequent states and arcs are broadcast, in
+    tables bounded by frequency (see the constants); all states and arcs stay distributed.  A task sends each rare token and
+    each pair of a document that may be another arc once, joins its count and weights, and adds them to the document's.
     """
     held = seventh(docs) == 2
     rows = docs.select(column(docs, "doc_id", "long"), held.alias("held_out"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
-    model, counted = train(rows.filter(~F.col("held_out")))
+    model, states, arcs = train(rows.filter(~F.col("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def asked(kind, uid, row, keys):
+        """One part for each document and key."""
+        order = np.lexsort((keys, row))
+        r, h = row[order], keys[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+        begin = np.flatnonzero(first)
+        k, zero = len(begin), np.zeros(len(begin))
+        many = np.diff(np.append(begin, len(order)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(uid[r[begin]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(np.full(k, kind, np.int8)), _signed(h[begin]), pa.array(many), pa.array(np.zeros(k, np.int64)), pa.array(zero), pa.array(zero)], names
+        )
 
     def run(batches):
         m = shared.value
@@ -182,43 +238,38 @@ def score(docs: DataFrame) -> DataFrame:
             for lo, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
                 row, hashes = tokens(data, offsets)
-                weight, back = m.traverse(row, hashes)
+                weight, place, keys = m.traverse(row, hashes)
                 at, hit = found(m.looked_up, hashes)
                 c = np.where(hit, m.counts[at] if len(m.counts) else 0, 0)
                 sure = np.where(hit, 1, 0)
-                weight += np.where(hit & back, m.unigram(c) if m.n else 0.0, 0.0)
+                weight += np.where(hit, m.unigram(c) + (m.backoff[at] if len(m.backoff) else 0.0), 0.0)
                 here = slice(lo, lo + n)
                 heads = [
-                    pa.array(uid[here]), ids.slice(lo, n), out.slice(lo, n), pa.array(np.ones(n, bool)), _signed(mix(uid[here].view(np.uint64) + np.uint64(77))), pa.array(np.bincount(row, minlength=n)),
+                    pa.array(uid[here]), ids.slice(lo, n), out.slice(lo, n), pa.array(np.full(n, HEAD, np.int8)), _signed(mix(uid[here].view(np.uint64) + np.uint64(77))), pa.array(np.bincount(row, minlength=n)),
                     pa.array(np.bincount(row, sure, n).astype(np.int64)), pa.array(np.bincount(row, np.where(hit, m.base(c), 0.0), n)), pa.array(np.bincount(row, weight, n)),
                 ]
-                names = [x.split()[0] for x in PARTS.split(", ")]
                 yield pa.RecordBatch.from_arrays(heads, names)
-                # Rare tokens, once per document; all of them fell back, as no arc leads to one.
                 rare = np.flatnonzero(~hit)
-                order = rare[np.lexsort((hashes[rare], row[rare]))]
-                r, h = row[order], hashes[order]
-                first = np.ones(len(order), bool)
-                first[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-                begin = np.flatnonzero(first)
-                k, zero = len(begin), np.zeros(len(begin))
-                many = np.diff(np.append(begin, len(order)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid[here][r[begin]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(np.zeros(k, bool)), _signed(h[begin]), pa.array(many), pa.array(np.zeros(k, np.int64)), pa.array(zero), pa.array(zero)], names
-                )
+                yield asked(TOKEN, uid[here], row[rare], hashes[rare])
+                yield asked(PAIR, uid[here], row[place], keys)
 
     parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, PARTS)
-    joined = parts.join(counted.withColumnRenamed("n", "c"), "key", "left")
-    c = F.coalesce("c", F.lit(0))
+    # What is broadcast is not asked for.
+    told = states.filter(F.col("n") < F.lit(LOOKED_UP * model.n)).select("key", F.lit(TOKEN).cast("byte").alias("kind"), F.col("n").alias("c"), F.col("backoff").alias("w"))
+    told = told.unionByName(arcs.filter(F.col("n") < F.lit(ARC * model.n)).select("key", F.lit(PAIR).cast("byte").alias("kind"), F.col("n").alias("c"), F.col("weight").alias("w")))
+    head, pair = F.col("kind") == HEAD, F.col("kind") == PAIR
+    # A pair that is no arc adds nothing to its failure path.
+    joined = parts.join(told, ["key", "kind"], "left").filter(~pair | F.col("w").isNotNull())
+    c, w = F.coalesce("c", F.lit(0)), F.coalesce("w", F.lit(0.0))
     n, types, d = float(max(model.n, 1)), float(model.types), model.discount
     base = F.log10((c + 1) / F.lit(float(model.n + model.types + 1)))
     seen, unseen = F.log10((F.when(c > 0, c).otherwise(1) - F.lit(d)) / F.lit(n)), F.lit(float(np.log10(d * types / n)) if model.n else 0.0)
     own = F.when(c > 0, seen).otherwise(unseen) if model.n else F.lit(0.0)
     parts = joined.select(
-        "uid", F.when(F.col("head"), F.struct("doc_id", "held_out", "n")).alias("first"),
-        F.when(F.col("head"), F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.when(F.col("head"), F.col("base")).otherwise(F.col("n") * base).alias("base"),
-        F.when(F.col("head"), F.col("score")).otherwise(F.col("n") * own).alias("score"),
+        "uid", F.when(head, F.struct("doc_id", "held_out", "n")).alias("first"),
+        F.when(head, F.col("known")).when(~pair & (c > 0), F.col("n")).otherwise(0).alias("known"),
+        F.when(head, F.col("base")).when(pair, 0.0).otherwise(F.col("n") * base).alias("base"),
+        F.when(head, F.col("score")).when(pair, F.col("n") * w).otherwise(F.col("n") * (own + w)).alias("score"),
     )
     summed = parts.groupBy("uid").agg(F.max("first.n").alias("n_tokens"), F.max("first.doc_id").alias("doc_id"), F.max("first.held_out").alias("held_out"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

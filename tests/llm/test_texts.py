@@ -274,3 +274,15 @@ def test_automaton_against_its_definition(docs):
             total += math.log10(arcs[before, w] if before is not None and (before, w) in arcs else back.get(before, 1) * one if before is not None else one)
             before = w
         assert abs(total - got[i]) < 1e-6
+
+
+def test_rare_states_and_arcs_give_the_same_scores(docs, monkeypatch):
+    """However little is broadcast, every bigram seen twice is an arc."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", f"r{rng.randrange(80)}"]) for _ in range(rng.randrange(40)))) for i in range(150)] + ODD
+    want = sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in lm_scoring.score(docs(rows)).collect())
+    for share in (0.01, 2.0):
+        monkeypatch.setattr(lm_scoring, "LOOKED_UP", share)
+        monkeypatch.setattr(lm_scoring, "ARC", share)
+        monkeypatch.setattr(lm_scoring, "BITS", 64, raising=False)
+        assert sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in lm_scoring.score(docs(rows)).collect()) == want
