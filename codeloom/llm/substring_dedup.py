@@ -17,7 +17,8 @@ WIDTH, PERCENT = 5, 80
 #: One MinHash value is a band.  At similarity 0.8 a pair shares one of BANDS with a chance of 1 - 0.2^BANDS = 0.998, at 0.9
 #: 0.9999; different paragraphs hardly ever share a five-word shingle, so longer bands would only cost recall.
 BANDS = 4
-#: Paragraphs of fewer words are not looked up; beside removed ones they go along.
+#: Stretches of fewer words are joined with neighbours that are as short; alone they are not looked up, but go along beside
+#: removed ones.
 PARAGRAPH = 6
 #: A sentence of fewer words stays with the one behind it.
 SENTENCE = 4
@@ -29,7 +30,8 @@ _NO_ID = (1 << 63) - 1
 
 
 class Paragraphs:
-    """The paragraphs of a chunk: stretches of words between line feeds and ends (. ! ?) of sentences that are not short."""
+    """The paragraphs of a chunk: stretches of words between line feeds and ends (. ! ?) of sentences that are not short, or
+    several short stretches, of lines or sentences, that stand together."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         small = lowered(data)
@@ -47,10 +49,12 @@ class Paragraphs:
         sentence = line.copy()
         sentence[1:] |= stop[:-1]
         begins = np.flatnonzero(sentence)
-        # Whether a sentence ends a paragraph depends on nothing but itself, so a passage is cut alike wherever it stands.
-        short = np.diff(np.append(begins, n)) < SENTENCE
-        glued = begins[1:][short[:-1]]
-        sentence[glued] = line[glued]
+        # Whether a stretch ends a paragraph depends on nothing but itself and the next, so a passage is cut alike wherever it
+        # stands.
+        size = np.diff(np.append(begins, n))
+        tiny = size < PARAGRAPH
+        next_row = self.rows[begins[1:]] != self.rows[begins[1:] - 1]
+        sentence[begins[1:][~next_row & (((size[:-1] < SENTENCE) & ~line[begins[1:]]) | (tiny[:-1] & tiny[1:]))]] = False
         self.first = np.flatnonzero(sentence)
         self.last = np.append(self.first[1:], n)
         self.row, self.size = self.rows[self.first], self.last - self.first
@@ -200,7 +204,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_paragraphs, n_repeated, n_removed, words_removed, removed, classes, kept_text)``, one row per row of ``docs``.
 
     A paragraph is a stretch of words between line feeds and ends of sentences of at least SENTENCE words, compared without regard to A-Z case and white
-    space.  Paragraphs are alike if equal, or if their sets of five-word shingles have a Jaccard similarity of at least 0.8;
+    space; stretches of fewer than PARAGRAPH words that stand together are one.  Words are parted by ASCII white space, so
+    text without it (Chinese, Japanese) has too few words to be looked up.  Paragraphs are alike if equal, or if their sets of five-word shingles have a Jaccard similarity of at least 0.8;
     components of alike paragraphs are classes.  A paragraph is repeated if an earlier document, or an earlier place in its
     own, has its class; it is removed where repeated ones stand together with at least PASSAGE words.  ``n_repeated`` counts
     paragraphs with a class of several places, the first included; ``removed`` are places from 0, ``classes`` their classes.

@@ -286,3 +286,15 @@ def test_rare_states_and_arcs_give_the_same_scores(docs, monkeypatch):
         monkeypatch.setattr(lm_scoring, "ARC", share)
         monkeypatch.setattr(lm_scoring, "BITS", 64, raising=False)
         assert sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in lm_scoring.score(docs(rows)).collect()) == want
+
+
+def test_passages_of_short_lines(docs):
+    """Verse, lists and dialogue: no line has enough words to be looked up alone."""
+    rng = random.Random(17)
+
+    def verse(lines, end=""):
+        return "\n".join(" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 6))) + end for _ in range(lines))
+
+    same, spoken = verse(60), verse(40, ".").replace("\n", " ")
+    got = {r.doc_id: r for r in substring_dedup.dedup_passages(docs([(1, same), (2, same), (3, verse(60)), (4, spoken), (5, spoken)])).collect()}
+    assert [got[i].words_removed for i in (1, 2, 3, 4, 5)] == [0, len(words(same)), 0, 0, len(words(spoken))]
