@@ -22,6 +22,9 @@ BANDS = 4
 PARAGRAPH = 6
 #: A sentence of fewer words stays with the one behind it.
 SENTENCE = 4
+#: Longer paragraphs are cut before words whose hash, with the next word's, is the lowest of REACH words on either side; so a
+#: piece has at least REACH words and 2 REACH + 1 on average, and cuts fall alike wherever a passage stands.
+LONGEST, REACH = 20, PARAGRAPH
 #: Words that repeated paragraphs standing together must have before they are removed.
 PASSAGE = 30
 _STEP = np.uint64(0x9DDFEA08EB382D69)
@@ -31,7 +34,7 @@ _NO_ID = (1 << 63) - 1
 
 class Paragraphs:
     """The paragraphs of a chunk: stretches of words between line feeds and ends (. ! ?) of sentences that are not short, or
-    several short stretches, of lines or sentences, that stand together."""
+    several short stretches, of lines or sentences, that stand together; long ones are cut where their words say."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         small = lowered(data)
@@ -55,6 +58,7 @@ class Paragraphs:
         tiny = size < PARAGRAPH
         next_row = self.rows[begins[1:]] != self.rows[begins[1:] - 1]
         sentence[begins[1:][~next_row & (((size[:-1] < SENTENCE) & ~line[begins[1:]]) | (tiny[:-1] & tiny[1:]))]] = False
+        sentence[self._cuts(np.flatnonzero(sentence))] = True
         self.first = np.flatnonzero(sentence)
         self.last = np.append(self.first[1:], n)
         self.row, self.size = self.rows[self.first], self.last - self.first
@@ -62,6 +66,20 @@ class Paragraphs:
         place = (np.arange(n) - np.repeat(self.first, self.size)).astype(np.uint64)
         self.hash = mix(np.add.reduceat(mix(self.words + place * _STEP), self.first) + self.size.astype(np.uint64))
 
+    def _cuts(self, first: np.ndarray) -> np.ndarray:
+        """The words that pieces of long paragraphs begin with."""
+        n = len(self.words)
+        size = np.diff(np.append(first, n))
+        place, whole = ragged(size), np.repeat(size, size)
+        at = np.flatnonzero((whole > LONGEST) & (place >= REACH) & (whole - place > REACH))
+        # The last word of a paragraph is not looked at, so the next word is one of the same paragraph.
+        h = mix(mix(self.words) + np.append(self.words[1:], np.uint64(0)))
+        lowest = np.ones(len(at), bool)
+        for k in range(1, REACH):
+            lowest &= (h[at] < h[at - k]) & (h[at] <= h[at + k])
+        lowest &= h[at] < h[at - REACH]
+        return at[lowest]
+
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(hashes, number per paragraph)`` of the given paragraphs; one with fewer words is a shingle itself."""
         many = np.maximum(self.size[which] - WIDTH + 1, 1)
@@ -204,7 +222,9 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_paragraphs, n_repeated, n_removed, words_removed, removed, classes, kept_text)``, one row per row of ``docs``.
 
     A paragraph is a stretch of words between line feeds and ends of sentences of at least SENTENCE words, compared without regard to A-Z case and white
-    space; stretches of fewer than PARAGRAPH words that stand together are one.  Words are parted by ASCII white space, so
+    space; stretches of fewer than PARAGRAPH words that stand together are one, and one of more than LONGEST words is cut into
+    pieces at borders that its words decide.  Of a passage that begins or ends within a paragraph the pieces at its edges are not
+    found, as matches are not extended by words.  Words are parted by ASCII white space, so
     text without it (Chinese, Japanese) has too few words to be looked up.  Paragraphs are alike if equal, or if their sets of five-word shingles have a Jaccard similarity of at least 0.8;
     components of alike paragraphs are classes.  A paragraph is repeated if an earlier document, or an earlier place in its
     own, has its class; it is removed where repeated ones stand together with at least PASSAGE words.  ``n_repeated`` counts

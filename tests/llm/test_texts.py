@@ -298,3 +298,18 @@ def test_passages_of_short_lines(docs):
     same, spoken = verse(60), verse(40, ".").replace("\n", " ")
     got = {r.doc_id: r for r in substring_dedup.dedup_passages(docs([(1, same), (2, same), (3, verse(60)), (4, spoken), (5, spoken)])).collect()}
     assert [got[i].words_removed for i in (1, 2, 3, 4, 5)] == [0, len(words(same)), 0, 0, len(words(spoken))]
+
+
+def test_passages_in_text_without_sentences(docs):
+    """A passage that begins and ends in the middle of an unpunctuated text is removed but for its edges."""
+    rng = random.Random(18)
+
+    def plain(n):
+        return " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+
+    passage = plain(150)
+    got = {r.doc_id: r for r in substring_dedup.dedup_passages(docs([(i, f"{plain(200)} {passage} {plain(170)}") for i in (1, 2, 3)])).collect()}
+    assert got[1].words_removed == 0
+    for i in (2, 3):
+        assert 80 <= got[i].words_removed <= 190
+        assert got[i].words_removed - len(set(words(passage)) - set(words(got[i].kept_text))) <= 8
