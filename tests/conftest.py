@@ -3,11 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from codeloom.session import local_session  # noqa: E402
-
-SOURCE = "project string, module_path string, rel_path string, file_path string, content string"
+from source_rows import SOURCE  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -119,7 +119,7 @@ def test_external_symbols_describe_outside_names(spark, contexts):
 
 def test_names_do_not_resolve_across_projects(spark, tmp_path):
     from codeloom import extract
-    from conftest import SOURCE
+    from source_rows import SOURCE
 
     rows = [
         ("one", "example.com/one", "see.go", "/one/see.go", 'package see\n\nimport "example.com/two/tree"\n\nvar root tree.Node\n'),
@@ -137,7 +137,7 @@ def test_clash_takes_first_function_and_last_struct(contexts):
 
 def test_bad_files_are_reported_and_left_out(spark, tmp_path):
     from codeloom import extract
-    from conftest import SOURCE
+    from source_rows import SOURCE
 
     rows = [
         ("p", "example.com/p", "good.go", "/p/good.go", "package p\n\nfunc F() {}\n"), ("p", "example.com/p", "cut.go", "/p/cut.go", "package p\n\nfunc G() {\n"),
