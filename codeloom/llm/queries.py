@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, exact_topk, language_id, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts
+from codeloom.llm import exact_dedup, exact_topk, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -60,11 +60,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup,
-        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts,
+        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts, op11_line_dedup,
     )
 }
 
@@ -72,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op3_exact_topk": exact_topk.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL})",
+    "op11_line_dedup": line_dedup.SQL,
 }

@@ -56,5 +56,5 @@ def test_stages(spark, table):
 
 def test_registered():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
