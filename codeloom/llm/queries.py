@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, exact_topk, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts
+from codeloom.llm import exact_dedup, exact_topk, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -64,11 +64,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup,
-        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts, op11_line_dedup,
+        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts, op11_line_dedup, op13_whitening,
     )
 }
 
