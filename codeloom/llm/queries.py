@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, exact_topk, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts, whitening
+from codeloom.llm import exact_dedup, exact_topk, hard_negatives, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepieces, substring_dedup, suffix_dedup, token_counts, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -64,6 +65,13 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"), positives=5, negatives=5, low=(80, 100))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
 
@@ -72,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_topk, op4_lm_scoring, op5_suffix_dedup,
-        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts, op11_line_dedup, op13_whitening,
+        op6_near_dedup, op7_exact_dedup, op8_sentencepiece, op9_mixing, op10_token_counts, op11_line_dedup, op12_hard_negatives, op13_whitening,
     )
 }
 
@@ -81,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL})",
     "op11_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }

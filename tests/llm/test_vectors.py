@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from codeloom.llm import whitening
+from codeloom.llm import hard_negatives, whitening
 
 
 @pytest.fixture()
@@ -88,3 +88,81 @@ def test_polar_factor_is_the_sign():
     signs = np.array([1, 1, 1, 1, -1, -1, -1, -1, -1.0])
     a = q @ np.diag(signs * 10.0 ** rng.uniform(-6, 2, 9)) @ q.T
     assert np.abs(whitening.polar_factor((a + a.T) / 2) - q @ np.diag(signs) @ q.T).max() < 1e-8
+
+
+def brute_negatives(rows, anchors, k=5, m=5, a=80, b=100):
+    """All rows against all anchors."""
+    out = []
+    for i, own, q in anchors:
+        scores = [(sum(x * y for x, y in zip(q, v)), j, label) for j, label, v in rows if j != i and len(v) == len(q)]
+        scores.sort(key=lambda s: (-s[0], s[1]))
+        for score, j, _ in [s for s in scores if s[2] == own][:k]:
+            fits = [s for s in scores if s[2] != own and a * score <= b * s[0] <= b * score]
+            out += [(i, j, rank, n, score, ns) for rank, (ns, n, _) in enumerate(fits[:m], 1)]
+    return sorted(out)
+
+
+def mined(frame, every, **options):
+    rows = hard_negatives.labelled(frame)
+    got = hard_negatives.mine(rows, rows.filter(f"vec_id % {every} = 0"), **options).collect()
+    return sorted((r.anchor_id, r.positive_id, r.rank, r.negative_id, r.positive_score, r.negative_score) for r in got)
+
+
+def whole(rows):
+    good = [(i, label, [math.floor(256 * c) for c in v]) for i, v, label in rows if i is not None and label is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    return good
+
+
+def clustered(n, width, centres, seed=3, spread=0.03):
+    rng = random.Random(seed)
+    middles = [[rng.gauss(0, 0.6) for _ in range(width)] for _ in range(centres)]
+    return [(i, [c + rng.gauss(0, spread) for c in middles[i % centres]], rng.randrange(4)) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [gauss(400, 8), clustered(600, 6, 9), clustered(300, 3, 2) + gauss(60, 8)], ids=["spread", "clusters", "lengths"])
+def test_hard_negatives_against_all_pairs(table, rows):
+    rows = rows + ODD + [(5000 + i, rows[4][1], i % 3) for i in range(60)] + [(40, rows[7][1], 1), (None, rows[7][1], 1)]
+    every = whole(rows)
+    anchors = {}
+    for i, label, v in every:
+        if i % 20 == 0:
+            anchors[i] = min(anchors.get(i, (label, v)), (label, v))
+    assert mined(table(rows), 20) == brute_negatives(every, [(i, *a) for i, a in sorted(anchors.items())])
+
+
+def test_small_blocks_and_other_windows(table, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "ROW_BLOCK", 7)
+    monkeypatch.setattr(hard_negatives, "ANCHOR_BLOCK", 3)
+    monkeypatch.setattr(hard_negatives, "SAMPLE", 50)
+    rows = clustered(150, 4, 3)
+    every = whole(rows)
+    anchors = [r for r in every if r[0] % 10 == 0]
+    assert mined(table(rows), 10, positives=2, negatives=3, low=(1, 2)) == brute_negatives(every, anchors, 2, 3, 1, 2)
+    # More negatives than there are: all of them.
+    assert mined(table(rows[:30]), 10, negatives=100, low=(0, 1)) == brute_negatives(every[:30], [r for r in every[:30] if r[0] % 10 == 0], 5, 100, 0, 1)
+
+
+def test_no_anchor_no_label_no_window(table):
+    assert mined(table([]), 1) == [] and mined(table(ODD), 1) == []
+    # One label only, and positives with scores below zero.
+    assert mined(table([(i, [0.5, i / 10], 1) for i in range(9)]), 1) == []
+    assert mined(table([(0, [1.0], 1), (1, [-1.0], 1), (2, [-0.9], 2)]), 1) == brute_negatives(whole([(0, [1.0], 1), (1, [-1.0], 1), (2, [-0.9], 2)]), whole([(0, [1.0], 1), (1, [-1.0], 1), (2, [-0.9], 2)]))
+
+
+def test_siblings_are_eliminated_and_nothing_is_lost():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 3, (200, 5)) for c in rng.normal(0, 200, (12, 5))]).astype(np.int64)
+    tree = hard_negatives.Tree(x[::3], float((x.astype(float) ** 2).sum(axis=1).max()))
+    leaf, seen = tree.place(x)
+    for at, low, high in seen:
+        tree.nodes[at].low, tree.nodes[at].high = np.minimum(tree.nodes[at].low, low), np.maximum(tree.nodes[at].high, high)
+    q = x[::40]
+    scores = q @ x.T
+    hi = np.sort(scores, axis=1)[:, -3]
+    lo = np.sort(scores, axis=1)[:, -30]
+    edge = (q.astype(float) ** 2).sum(axis=1) + tree.reach2
+    needed, _ = tree.asks(q, np.sqrt(edge - 2 * hi)[:, None], np.sqrt(edge - 2 * lo)[:, None])
+    for i in range(len(q)):
+        within = (scores[i] >= lo[i]) & (scores[i] <= hi[i])
+        assert needed[i][leaf[within]].all()
+    assert needed.mean() < 0.3 and tree.leaves > 20
