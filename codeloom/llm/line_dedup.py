@@ -81,8 +81,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     hashes = written(line_hashes(docs, min_chars), "line-hashes")
     # First lines are counted inside each range, so what is shuffled is about one row per key, however common it is.
     counted = first_occurrences(hashes).groupBy(*KEY).agg(F.count("*").alias("docs"), *([F.min(_place()).alias("leader")] if keep_first else []))
-    common = counted.filter(F.col("docs") >= min_docs).drop("docs")
-    # Many lines, one row per key: a key with very many lines is split by adaptive skew handling.
+    # Many lines, one row per key: written, the keys are a side of known size, and a key with very many lines is split by
+    # adaptive skew handling, which it is not where a join stands right on an aggregate.
+    common = written(counted.filter(F.col("docs") >= min_docs).drop("docs"), "line-common")
     met = hashes.join(common, KEY)
     drops = met.filter(_place() != F.col("leader")) if keep_first else met
     ends = hashes.filter("h1 is null")
