@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeloom.functions.brackets import bound, depth, flat, unflat
+
 # Characters hidden inside literals and comments, and the private code points they move to.
 _HIDDEN = "{}()[],;=.:/*\"'`\n"
 _PRIVATE = "".join(chr(0xE000 + i) for i in range(len(_HIDDEN)))
@@ -25,7 +27,10 @@ COMMENT = r"//[^\n]*+|/\*[^*]*+\*/"
 
 
 def nested(opening: str, closing: str, depth: int = 12) -> str:
-    """Pattern of a balanced pair in a signature or a type, nested up to ``depth`` levels; values are cut without patterns."""
+    """Pattern of a balanced pair nested up to ``depth`` levels, for finding places where only types stand.
+
+    What lies deeper is found as places of their own; declarations are cut without nested patterns (``brackets.flat``).
+    """
     pattern = rf"\{opening}[^\{opening}\{closing}]*+\{closing}"
     for _ in range(depth):
         pattern = rf"\{opening}(?:[^\{opening}\{closing}]++|{pattern})*+\{closing}"
@@ -176,12 +181,13 @@ def declarations(code: Column) -> Column:
 
 # A result type: everything up to the body's brace.
 _RESULT = rf"(?:interface ?{BRACES}|struct ?{BRACES}|func ?{PARENS} ?|{BRACKETS}|<-|chan(?:<-)? |[\w.*])++"
-_FUNC_HEAD = rf"(?s)\A(func\s*+(?:{PARENS}\s*+)?+\w++(?:{BRACKETS})?+\s*+{PARENS}[ \t]*+(?:{PARENS}|{_RESULT})?+)"
+# Before the body, or before the values of a composite literal, a brace only opens a struct or interface type.
+BEFORE_BODY = r"(?:[^{]++|(?<=\b(?:struct|interface) ?)\{)*+"
 
 
 def func_head(text: Column) -> Column:
     """Function declaration without its body and comments."""
-    return _rstrip(F.regexp_extract(without_comments(text), _FUNC_HEAD, 1))
+    return _rstrip(F.regexp_extract(without_comments(text), rf"\A({BEFORE_BODY})", 1))
 
 
 def specs(text: Column) -> Column:
@@ -199,28 +205,15 @@ def members(body: Column) -> Column:
     """Fields or methods of a type body, one text each."""
     bare = without_comments(body)
     lines = find_all(F.replace(F.concat(F.lit("\n"), bare), F.lit("\n\t"), F.lit("\n")), rf"(?m){_MEMBER}")
-    pieces = F.when(F.instr(F.trim(bare), "\n") > 0, lines).otherwise(F.split(bare, ";|\n"))
+    pieces = F.when(F.instr(F.trim(bare), "\n") > 0, lines).otherwise(F.transform(F.split(flat(bare), ";|\n"), unflat))
     trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, rf"^\s++|\s*+(?:{LITERAL})?\s*+$", ""))
     return F.filter(trimmed, lambda p: p != "")
 
 
 def split_list(text: Column) -> Column:
     """Parts of a list, cut at top-level commas only, however deep its brackets nest."""
-    bare = without_comments(text)
-    tokens = find_all(bare, r"[(\[{]|[)\]}]|,|[^(){}\[\],]++")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("cuts"))
-
-    def step(acc: Column, t: Column) -> Column:
-        depth = acc["depth"] + F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
-        at = acc["at"] + F.length(t)
-        cuts = F.when((t == ",") & (acc["depth"] == 0), F.array_append(acc["cuts"], at)).otherwise(acc["cuts"])
-        return F.struct(depth.alias("depth"), at.alias("at"), cuts.alias("cuts"))
-
-    cuts = F.aggregate(tokens, start, step, lambda acc: F.array_append(acc["cuts"], acc["at"] + 1))
-    between = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.substring(bare, F.get(cuts, i - 1) + 1, F.get(cuts, i) - F.get(cuts, i - 1) - 1))
-    # Most lists have no bracket at all.
-    parts = F.when(bare.rlike(r"[(\[{]"), between).otherwise(F.split(bare, ","))
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s++|\s++$", "")), lambda p: p != "")
+    parts = F.transform(F.split(flat(without_comments(text)), ","), lambda p: unflat(F.regexp_replace(p, r"^\s++|\s++$", "")))
+    return F.filter(parts, lambda p: p != "")
 
 
 # A part that reads 'name type'; a type of two words does not.
@@ -250,8 +243,9 @@ PREDECLARED = (
     "int64", "rune", "string", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr",
     "chan", "func", "interface", "map", "struct",
 )
-# A name right before a type (a parameter of a nested function type) keeps its blank and stays as it is.
-_TYPE_TOKEN = r"\w++\.\w++|\w++\s++(?=[\w*\[.<(])|\w++|\W++"
+# A name right before a type (a parameter of a nested function type, a field of an inline struct) keeps its blank and
+# stays as it is; so does a name right before a list (a method of an inline interface).
+_TYPE_TOKEN = r"\w++\.\w++|\w++\s++(?=[\w*\[.<(])|\w++\(|\w++|\W++"
 
 
 # An inline struct or interface is shown on one line: 'struct{A int; B string}'.
@@ -266,29 +260,61 @@ _TYPE_LAYOUT = (
 
 # Brackets and commas of lists that are settled, while the lists around them are looked at.
 _LIST, _SETTLED = "(),", "\uE020\uE021\uE022"
-# A parameter list without lists in it, or the result list behind a settled one.
-_FLAT_LIST = r"(?:\bfunc|\uE021 ?)\([^()]*+\)"
-_LIST_PASSES = 4
+# A parameter list of a function type or an interface method without open lists in it, or the results behind a settled one.
+_FLAT_LIST = r"(?:\b\w++|\uE021 ?)\([^()]*+\)"
+# Any other bracket without one in it; behind a list it may be that list's results, so it waits for the list.
+_OTHER_LIST = r"(?<![)\uE021])(?<![)\uE021] )\([^()]*+\)"
 
 
 def expand_func_types(type_text: Column) -> Column:
     """Each name of a nested list with its own type: 'func(a, b int)' as 'func(a int, b int)'.
 
-    Innermost lists first: a pass settles every list whose own lists are settled, so a nesting of
-    _LIST_PASSES / 2 levels with results is covered.
+    Innermost lists first: a pass settles every list whose own lists are settled, then the result lists behind them, so
+    there are two passes for each level that the text really has.
     """
 
     def settle(piece: Column) -> Column:
         head = F.regexp_extract(piece, r"^([^(]*+\()", 1)
-        parts = F.split(F.substring(piece, F.length(head) + 1, F.length(piece) - F.length(head) - 1), r",\s*+")
-        entry = F.transform(expand_params(F.transform(parts, lambda p: F.trim(p))), lambda p: F.when(p["name"] == "", p["type"]).otherwise(F.concat_ws(" ", p["name"], p["type"])))
-        return F.translate(F.concat(head, F.array_join(entry, ", "), F.lit(")")), _LIST, _SETTLED)
+        parts = split_list(F.substring(piece, F.length(head) + 1, F.length(piece) - F.length(head) - 1))
+        entry = bound(parts, lambda found: F.transform(expand_params(found), lambda p: F.when(p["name"] == "", p["type"]).otherwise(F.concat_ws(" ", p["name"], p["type"]))))
+        return F.concat(head, F.array_join(entry, ", "), F.lit(")"))
+
+    def one_pass(text: Column, _: Column) -> Column:
+        pieces = find_all(text, rf"{_FLAT_LIST}|{_OTHER_LIST}|(?s:(?!{_FLAT_LIST}|{_OTHER_LIST}).)++")
+        done = F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_FLAT_LIST}$"), F.translate(settle(p), _LIST, _SETTLED)).when(p.rlike(r"^\([^()]*+\)$"), F.translate(p, _LIST, _SETTLED)).otherwise(p))
+        return F.array_join(done, "")
+
+    settled = F.aggregate(F.sequence(F.lit(1), 2 * depth(type_text)), type_text, one_pass)
+    nested_list = type_text.rlike(r"\bfunc\(|\binterface ?\{ *[^} ]")
+    return F.when(nested_list, F.translate(settled, _SETTLED, _LIST)).otherwise(type_text)
 
-    text = type_text
-    for _ in range(_LIST_PASSES):
-        pieces = find_all(text, rf"{_FLAT_LIST}|(?s:(?!{_FLAT_LIST}).)++")
-        text = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_FLAT_LIST}$"), settle(p)).otherwise(p)), "")
-    return F.when(type_text.contains("func("), F.translate(text, _SETTLED, _LIST)).otherwise(type_text)
+
+# An inline struct or interface without one in it, and the braces of one that is settled.
+_FLAT_BODY = r"\b(?:struct|interface)\{[^{}]*+\}"
+_BRACES, _SHUT = "{}", "\uE023\uE024"
+_SHARED_TYPE = r"^(\w++(?:, ?\w++)++) (\S.*)$"
+
+
+def expand_struct_types(type_text: Column) -> Column:
+    """Each field of an inline struct with its own type: 'struct{A, B int}' as 'struct{A int; B int}', however deep."""
+
+    def apart(field: Column) -> Column:
+        names = F.split(F.regexp_extract(field, _SHARED_TYPE, 1), ", ?")
+        shared = F.array_join(F.transform(names, lambda n: F.concat(n, F.lit(" "), F.regexp_extract(field, _SHARED_TYPE, 2))), "; ")
+        return F.when(field.rlike(_SHARED_TYPE), shared).otherwise(field)
+
+    def settle(piece: Column) -> Column:
+        body = F.substring(piece, F.lit(8), F.length(piece) - 8)
+        fields = F.concat(F.lit("struct{"), F.array_join(F.transform(F.split(body, "; ?"), apart), "; "), F.lit("}"))
+        return F.translate(F.when(piece.startswith("struct"), fields).otherwise(piece), _BRACES, _SHUT)
+
+    def one_pass(text: Column, _: Column) -> Column:
+        pieces = find_all(text, rf"{_FLAT_BODY}|(?s:(?!{_FLAT_BODY}).)++")
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_FLAT_BODY}$"), settle(p)).otherwise(p)), "")
+
+    levels = F.length(type_text) - F.length(F.replace(type_text, F.lit("{"), F.lit("")))
+    settled = F.aggregate(F.sequence(F.lit(1), levels), type_text, one_pass)
+    return F.when(type_text.contains("struct{") & type_text.contains(","), F.translate(settled, _SHUT, _BRACES)).otherwise(type_text)
 
 
 def qualify_type(type_text: Column, aliases: Column, pkg_path: Column, type_params: Column | None = None) -> Column:
@@ -297,6 +323,7 @@ def qualify_type(type_text: Column, aliases: Column, pkg_path: Column, type_para
     tidy = F.regexp_replace(type_text, r"^\s++|\s++\z", "")
     for pattern, new in _TYPE_LAYOUT:
         tidy = F.regexp_replace(tidy, pattern, new)
+    tidy = expand_struct_types(tidy)
 
     def token(t: Column) -> Column:
         path = F.try_element_at(aliases, F.substring_index(t, ".", 1))
@@ -383,12 +410,28 @@ def shown_constant(value: Column) -> Column:
     return F.when(value.startswith('"') & (F.length(value) > SHOWN_CHARS), F.concat(F.substring(value, 1, CUT_CHARS), F.lit("..."))).otherwise(value)
 
 
+# Whole numbers beyond 38 digits are arrays of limbs, the lowest first.
+_LIMB_DIGITS = 9
+
+
 def _from_base(digits: Column, bits: int) -> Column:
-    """Decimal text of digits to a base of 2^bits, up to 120 bits; '' beyond."""
-    wide = "decimal(38,0)"
-    each = F.transform(F.split(digits, ""), lambda d: F.conv(d, 16, 10).cast(wide))
-    total = F.aggregate(each, F.lit(0).cast(wide), lambda acc, d: (acc * F.lit(1 << bits) + d).cast(wide))
-    return F.when(F.length(digits) * bits <= 120, total.cast("string")).otherwise(F.lit(""))
+    """Decimal text of digits to a base of 2^bits, however many: schoolbook multiplication limb by limb."""
+    width = 28 // bits
+    limb = F.lit(10**_LIMB_DIGITS).cast("bigint")
+    padded = F.lpad(digits, (F.ceil(F.length(digits) / width) * width).cast("int"), F.lit("0"))
+
+    def step(limbs: Column, chunk: Column) -> Column:
+        start = F.struct(F.conv(chunk, 1 << bits, 10).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def one(acc: Column, x: Column) -> Column:
+            total = x * F.lit(1 << width * bits).cast("bigint") + acc["carry"]
+            return F.struct(F.call_function("div", total, limb).alias("carry"), F.array_append(acc["out"], total % limb).alias("out"))
+
+        return F.aggregate(limbs, start, one, lambda acc: F.array_append(acc["out"], acc["carry"]))
+
+    limbs = F.aggregate(find_all(padded, f".{{{width}}}"), F.array(F.lit(0).cast("bigint")), step)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), _LIMB_DIGITS, "0")), "")
+    return F.when(digits != "", F.regexp_replace(text, "^0+(?=.)", "")).otherwise(F.lit(""))
 
 
 def _six_digits(number: Column) -> Column:
@@ -432,18 +475,3 @@ def constant_value(literal: Column) -> Column:
         .when(rune.rlike(r"^\\.$"), F.coalesce(F.try_element_at(escapes, F.substring(rune, 2, 1)), F.lit("")))
         .otherwise(F.lit(""))
     )
-
-
-def counted_value(expression: Column, n: Column) -> Column:
-    """Value of the common forms of ``iota`` for the entry number ``n``, '' for any other expression."""
-    bare = F.regexp_replace(expression, r"[\s()]", "")
-    k = F.regexp_extract(bare, r"([0-9]{1,9})", 1).try_cast("bigint")
-    n = n.cast("bigint")
-    forms = (
-        (r"^iota$", n), (r"^iota\+[0-9]{1,9}$", n + k), (r"^[0-9]{1,9}\+iota$", n + k), (r"^iota-[0-9]{1,9}$", n - k),
-        (r"^(?:iota\*[0-9]{1,9}|[0-9]{1,9}\*iota)$", n * k), (r"^1<<iota$", F.when(n < 62, F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")))),
-    )
-    out = F.when(F.lit(False), F.lit(""))
-    for pattern, value in forms:
-        out = out.when(bare.rlike(pattern), F.coalesce(value.cast("string"), F.lit("")))
-    return out.otherwise(F.lit(""))

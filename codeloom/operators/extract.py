@@ -17,9 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import constants as K
 from codeloom.functions import gotext as G
+from codeloom.functions.brackets import bound, flat, running, unflat
 from codeloom.operators.structs import struct_methods
 from codeloom.operators.uses import SYMBOL_KEY
+from codeloom.operators.values import settle_globals
 from codeloom.sources.corpus import error_of
 from codeloom.schemas import FIELDS, FILE_KEY, METHODS, Facts, normalise
 
@@ -78,7 +81,9 @@ def _declared(parsed: DataFrame, *words: str) -> DataFrame:
     return rows.withColumn("comment", G.doc_text(F.col("doc")))
 
 
-_FUNC = rf"^func\s*+({G.PARENS})?+\s*+(\w++)({G.BRACKETS})?+\s*+({G.PARENS})[ \t]*+((?s:.*))$"
+# Over flat text: the brackets inside others are hidden, so one level is all there is.
+_ROUND, _SQUARE = r"\([^()]*+\)", r"\[[^\[\]]*+\]"
+_FUNC = rf"^func\s*+({_ROUND})?+\s*+(\w++)({_SQUARE})?+\s*+({_ROUND})[ \t]*+((?s:.*))$"
 
 
 def _inside(parens: Column) -> Column:
@@ -88,9 +93,9 @@ def _inside(parens: Column) -> Column:
 def _signatures(parsed: DataFrame) -> DataFrame:
     """Function and method rows with receiver, name and split parameter and result lists."""
     # Written out here, once per declaration, so that no type has to look inside its own lists.
-    rows = _declared(parsed, "func").withColumn("text", G.expand_func_types(F.col("text"))).select(
+    rows = _declared(parsed, "func").withColumn("text", flat(G.expand_func_types(F.col("text")))).select(
         *HEAD, "aliases", "pos", "comment",
-        *[F.regexp_extract("text", _FUNC, n).alias(c) for n, c in enumerate(("recv", "name", "brackets", "args", "results"), 1)],
+        *[unflat(F.regexp_extract("text", _FUNC, n)).alias(c) for n, c in enumerate(("recv", "name", "brackets", "args", "results"), 1)],
     )
     result_list = F.when(F.col("results").startswith("("), _inside(F.col("results"))).otherwise(F.col("results"))
     rows = rows.withColumn("recv_type", F.regexp_extract("recv", r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\)$", 1))
@@ -138,17 +143,18 @@ def _specs(parsed: DataFrame, *words: str) -> DataFrame:
     """
 
     def of(d: Column) -> Column:
-        found = G.specs(d["text"])
-        bare = F.transform(found, lambda s: G.without_comments(s["text"]))
-        flags = F.array_join(F.transform(bare, lambda t: F.when(t.contains("="), "1").otherwise("0")), "")
+        def entries(found: Column) -> Column:
+            valued = F.transform(found, lambda s, n: F.when(G.without_comments(s["text"]).contains("="), n))
+            last = running(valued, F.lit(-1), lambda before, n: F.coalesce(n, before))
 
-        def entry(s: Column, n: Column) -> Column:
-            # Distance back to the last entry with a value.
-            back = F.instr(F.reverse(F.substring(flags, F.lit(1), n + 1)), "1")
-            tail = F.when(back > 1, F.regexp_extract(F.get(bare, n - back + 1), _NAMES + r"((?s:.*))$", 2)).otherwise(F.lit(""))
-            return F.struct(d["word"].alias("word"), d["doc"].alias("group_doc"), s["doc"].alias("spec_doc"), s["text"].alias("text"), n.alias("n"), tail.alias("carried"))
+            def entry(s: Column, n: Column, at: Column) -> Column:
+                tail = F.regexp_extract(G.without_comments(F.get(found, at)["text"]), _NAMES + r"((?s:.*))$", 2)
+                carried = F.when((at >= 0) & (at < n), tail).otherwise(F.lit(""))
+                return F.struct(d["word"].alias("word"), d["doc"].alias("group_doc"), s["doc"].alias("spec_doc"), s["text"].alias("text"), n.alias("n"), carried.alias("carried"))
 
-        return F.transform(found, entry)
+            return bound(last, lambda at: F.transform(found, lambda s, n: entry(s, n, F.get(at, n))))
+
+        return bound(G.specs(d["text"]), entries)
 
     entries = F.flatten(F.transform(F.filter("decls", lambda d: d["word"].isin(*words)), of))
     rows = parsed.select(*HEAD, "aliases", F.posexplode(entries).alias("pos", "s"))
@@ -158,13 +164,15 @@ def _specs(parsed: DataFrame, *words: str) -> DataFrame:
     )
 
 
-_TYPE = rf"^(\w++)({G.BRACKETS})?+\s++(struct|interface)\s*+(\{{(?s:.*)\}})[^}}]*$"
+_TYPE = rf"^(\w++)({_SQUARE})?+\s++(struct|interface)\s*+(\{{(?s:.*)\}})[^}}]*$"
 
 
 def _type_bodies(parsed: DataFrame, kind: str) -> DataFrame:
-    rows = _specs(parsed, "type").withColumn("text", G.expand_func_types(F.col("text"))).select(
+    text = G.expand_func_types(F.col("text"))
+    # Only type parameters stand before the body; a body may be long, and its brackets need no look.
+    rows = _specs(parsed, "type").withColumn("text", F.when(F.col("text").rlike(r"^\w+\["), flat(text)).otherwise(text)).select(
         *HEAD, "aliases", "pos", F.when(F.col("group_doc") != "", F.col("group_doc")).otherwise(F.col("spec_doc")).alias("comment"),
-        *[F.regexp_extract("text", _TYPE, n).alias(c) for n, c in enumerate(("bare", "brackets", "kind", "body"), 1)],
+        *[unflat(F.regexp_extract("text", _TYPE, n)).alias(c) for n, c in enumerate(("bare", "brackets", "kind", "body"), 1)],
     ).filter(F.col("kind") == kind)
     return rows.select(
         *HEAD, "aliases", "pos", "comment", F.concat(F.concat_ws(".", "pkg_path", "bare"), "brackets").alias("name"),
@@ -189,32 +197,56 @@ def structs(parsed: DataFrame) -> DataFrame:
 def interfaces(parsed: DataFrame) -> DataFrame:
     """Interface types: listed methods in name order, without comments, and embedded types in source order."""
     rows = _type_bodies(parsed, "interface")
-    pattern = rf"(?s)^(\w++)\s*+({G.PARENS})\s*+(.*)$"
+    pattern = rf"(?s)^(\w++)\s*+({_ROUND})\s*+(.*)$"
     listed = F.filter("members", lambda m: m.rlike(r"^\w+\s*\("))
 
     def types(text: Column) -> Column:
         return F.transform(G.expand_params(G.split_list(text)), lambda p: _qualified(p["type"]))
 
     def method(m: Column) -> Column:
-        result = F.regexp_extract(m, pattern, 3)
+        result = unflat(F.regexp_extract(m, pattern, 3))
         return F.struct(
-            F.regexp_extract(m, pattern, 1).alias("Name"), F.lit("").alias("Comment"), types(_inside(F.regexp_extract(m, pattern, 2))).alias("Parameters"),
+            F.regexp_extract(m, pattern, 1).alias("Name"), F.lit("").alias("Comment"), types(_inside(unflat(F.regexp_extract(m, pattern, 2)))).alias("Parameters"),
             types(F.when(result.startswith("("), _inside(result)).otherwise(result)).alias("ReturnTypes"),
         )
 
     out = rows.select(
-        *HEAD, "pos", "name", "comment", F.array_sort(F.transform(listed, method)).cast(METHODS).alias("methods"),
+        *HEAD, "pos", "name", "comment", F.array_sort(F.transform(listed, lambda m: bound(flat(m), method))).cast(METHODS).alias("methods"),
         F.transform(F.filter("members", lambda m: ~m.rlike(r"^\w+\s*\(")), _qualified).alias("embeddeds"),
     )
     return normalise(out, "decl_iface")
 
 
-# Type of a composite literal: '[]T{', 'map[K]V{', 'pkg.T{', '&T{'.
-_COMPOSITE = rf"^&?((?:map{G.BRACKETS}|{G.BRACKETS}|\*|[\w.])++)\{{"
+# Type of a composite literal, in flat text: '[]T', 'map[K]V', 'pkg.T', '[]struct{...}'.
+_COMPOSITE = rf"^(?:(?:map)?+{_SQUARE}|\*|chan )*+(?!(?:struct|interface)\b|\w++\()(?:[A-Za-z_][\w.]*+(?:{_SQUARE})?+)$|^(?:(?:map)?+{_SQUARE}|\*)*+(?:struct|interface) ?\{{[^{{}}]*+\}}$"
+
+
+def _expression(raw: Column, iota: Column) -> Column:
+    """Postfix nodes with full names: of the package's own names, of imported names, of the types of conversions."""
+
+    def full(node: Column) -> Column:
+        path = F.try_element_at("aliases", F.substring_index(node["v"], ".", 1))
+        name = (
+            F.when(node["v"].isin("true", "false", "iota"), node["v"])
+            .when(node["v"].contains(".") & path.isNotNull(), F.concat(path, F.lit("."), F.substring_index(node["v"], ".", -1)))
+            .otherwise(F.concat(F.col("pkg_path"), F.lit("."), node["v"]))
+        )
+        shown = F.when(node["k"] == "x", name).when(node["k"] == "c", _qualified(node["v"])).otherwise(node["v"])
+        return F.struct(node["k"].alias("k"), shown.alias("v"))
+
+    # In a constant only a type stands before a bracket; in a variable it may be a function of the project.
+    told = lambda nodes: F.col("is_const") | ~F.exists(nodes, lambda n: (n["k"] == "c") & ~n["v"].isin(*G.PREDECLARED))
+    return bound(K.postfix(raw), lambda nodes: F.when(told(nodes), F.transform(nodes, full)))
 
 
 def globals_(parsed: DataFrame) -> DataFrame:
-    """Variables and constants, one row per name."""
+    """Variables and constants, one row per name, as far as their own text says what they are."""
+    return normalise(open_globals(parsed), "decl_global")
+
+
+def open_globals(parsed: DataFrame) -> DataFrame:
+    """``decl_global`` rows with what an unsettled type or value depends on: ``nodes`` and the ``names`` in them, the
+    entry's number ``iota``, and of a single call ``callee`` and which ``result`` it gives."""
     rows = _specs(parsed, "var", "const")
     bare = G.without_comments(F.col("text"))
     is_const = F.col("word") == "const"
@@ -232,28 +264,41 @@ def globals_(parsed: DataFrame) -> DataFrame:
         # A single name has the whole text; only a list of names is cut.
         F.when(F.size("names") == 1, F.array(value_text)).otherwise(G.split_list(value_text)).alias("values"),
     )
-    each = rows.select(*[c for c in rows.columns if c != "n"], F.col("n").alias("entry"), F.posexplode("names").alias("n", "name"))
-    value = F.coalesce(F.get("values", F.col("n")), F.lit(""))
-    shown = each.withColumn("raw", value).withColumn("plain", G.unshield(F.col("raw")))
+    # Name and value go together before they are taken apart, so no row carries the whole list.
+    rows = rows.withColumn("whole", F.when((F.size("values") == 1) & (F.size("names") > 1), F.get("values", F.lit(0))))
+    pairs = F.zip_with("names", F.slice("values", F.lit(1), F.size("names")), lambda name, value: F.struct(name.alias("name"), F.coalesce(value, F.lit("")).alias("raw")))
+    each = rows.select(*[c for c in rows.columns if c not in ("n", "names", "values")], F.col("n").alias("entry"), F.posexplode(pairs).alias("n", "pair")).select("*", "pair.*")
+    shown = each.withColumn("plain", G.unshield(F.col("raw")))
     made = F.regexp_extract("raw", r"^make\(([^,()]++)[,)]", 1)
     new = F.regexp_extract("raw", r"^new\(([^()]++)\)$", 1)
-    composite = F.regexp_extract("raw", _COMPOSITE, 1)
-    counted = F.when(F.col("is_const"), G.counted_value(F.col("plain"), F.col("entry"))).otherwise(F.lit(""))
+    before = F.regexp_extract("raw", rf"^&?({G.BEFORE_BODY})\{{", 1)
+    composite = F.when(flat(before).rlike(_COMPOSITE), before).otherwise(F.lit(""))
+    converted = F.regexp_extract(flat(F.col("raw")), rf"^({'|'.join(n for n in G.PREDECLARED if n not in ('chan', 'func', 'interface', 'map', 'struct'))})\([^()]*+\)$", 1)
     guess = (
-        F.when(counted != "", F.lit("untyped int"))
-        .when(F.col("is_const") | (F.col("raw") == ""), G.literal_type(F.col("plain"), F.col("is_const")))
-        .when((composite != "") & ~composite.isin("struct", "interface"), F.concat(F.when(F.col("raw").startswith("&"), F.lit("*")).otherwise(F.lit("")), _qualified(composite)))
-        .when(made != "", _qualified(made)).when(new != "", F.concat(F.lit("*"), _qualified(new)))
+        F.when(F.col("is_const") | (F.col("raw") == ""), G.literal_type(F.col("plain"), F.col("is_const")))
+        .when(composite != "", F.concat(F.when(F.col("raw").startswith("&"), F.lit("*")).otherwise(F.lit("")), _qualified(composite)))
+        .when(F.col("raw").rlike(r"(?s)^func\(.*\}$"), _qualified(G.expand_func_types(before)))
+        .when(converted != "", converted).when(made != "", _qualified(made)).when(new != "", F.concat(F.lit("*"), _qualified(new)))
         .otherwise(G.literal_type(F.col("plain"), F.lit(False)))
     )
-    constant = F.when(counted != "", counted).otherwise(G.constant_value(F.col("plain")))
-    out = shown.select(
+    shown = shown.withColumn("type", F.when(F.col("written_type") != "", _qualified(F.col("written_type"))).otherwise(guess))
+    shown = shown.withColumn("value", F.when(F.col("is_const"), G.constant_value(F.col("plain"))).otherwise(F.col("plain")))
+    # Only what neither its own text nor its type tells is looked at as an expression.
+    open_ = (F.col("raw") != "") & ((F.col("type") == "") | (F.col("is_const") & (F.col("value") == "") & (F.col("type") != "untyped float")))
+    nothing = F.array().cast(f"array<{K.NODE}>")
+    shown = shown.withColumn("nodes", F.when(open_, F.coalesce(_expression(F.col("raw"), F.col("entry")), nothing)).otherwise(nothing))
+    shown = shown.withColumn("names", F.filter(K.names_in(F.col("nodes")), lambda n: ~n.isin("true", "false", "iota")))
+    shown = shown.withColumn("own", F.when((F.size("nodes") > 0) & (F.size("names") == 0), K.evaluate(F.col("nodes"), K.predeclared(F.col("entry")))))
+    shown = shown.withColumn("type", F.when(F.col("type") != "", F.col("type")).otherwise(K.declared_type(F.col("own"), F.col("is_const"))))
+    shown = shown.withColumn("value", F.when(F.col("is_const") & (F.col("value") == ""), F.coalesce("own.v", F.lit(""))).otherwise(F.col("value")))
+    call = F.coalesce("whole", F.col("raw"))
+    callee = F.when(~F.col("is_const") & (F.col("type") == ""), F.regexp_extract(flat(call), r"^([A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)?)\([^()]*+\)$", 1)).otherwise(F.lit(""))
+    return shown.select(
         # Both numbers have 32 bits, so they never run into each other.
         *HEAD, (F.shiftleft("pos", 32) + F.col("n")).alias("pos"), "name", F.concat_ws(".", "pkg_path", "name").alias("fq_name"), "comment",
-        F.when(F.col("written_type") != "", _qualified(F.col("written_type"))).otherwise(guess).alias("type"),
-        F.when(F.col("is_const"), constant).otherwise(F.col("plain")).alias("value"), "is_const",
+        "type", "value", "is_const", "nodes", "names", F.col("entry").alias("iota"),
+        F.when(callee != "", _qualified(callee)).otherwise(F.lit("")).alias("callee"), F.when(F.col("whole").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("result"),
     )
-    return normalise(out, "decl_global")
 
 
 def foreign_names(parsed: DataFrame) -> DataFrame:
@@ -305,8 +350,11 @@ def facts_from_parsed(
     named = keep("named", with_aliases(parsed))
     tables = {
         "go_file": go_files(named), "decl_func": functions(named), "decl_struct": struct_methods(structs(named), methods(named), strict),
-        "decl_iface": interfaces(named), "decl_global": globals_(named),
+        "decl_iface": interfaces(named),
     }
     kept = {name: keep(name, df) for name, df in tables.items()}
+    types = kept["decl_struct"].select("project", "name").unionByName(kept["decl_iface"].select("project", "name"))
+    settled = settle_globals(keep("open_globals", open_globals(named)), kept["decl_func"], types, keep)
+    kept["decl_global"] = keep("decl_global", normalise(settled, "decl_global"))
     refs = foreign_names(named)
     return Facts(**kept, use_ref=keep("use_ref", settle_kinds(refs, Facts(**kept, use_ref=refs), external_symbols)))

@@ -98,6 +98,7 @@ def error_of(code: Column, content: Column, in_module: Column) -> Column:
         F.when(content.isNull() | (F.trim(code) == ""), F.lit("empty file"))
         .when(G.package_name(bare) == "", F.lit("missing package clause"))
         .when(count("{") != count("}"), F.lit("unbalanced braces"))
+        .when((count("(") != count(")")) | (count("[") != count("]")), F.lit("unbalanced brackets"))
         .when(~in_module, F.lit(NO_MODULE))
         .otherwise(F.lit(""))
     )
