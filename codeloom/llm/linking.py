@@ -25,9 +25,10 @@ def link(shared: DataFrame, compare: Callable[[DataFrame], DataFrame], sets_of:
 
     1. The nodes of a key are compared with its centre only: a pair per node and key, whatever the size of a group.
     2. In keys whose nodes are not all in one component then, the nodes outside the key's largest component are held
-       against all others of different components, inside tasks and by blocks of a bounded number of sets.
+       against all others of different components, on full sets, inside tasks and by blocks of a bounded number of sets.
+       A block joins what it finds linked and returns the links that joined something: fewer than it has nodes.
     So every pair that shares a key is compared or already connected, no link between components is lost, and rows are made
-    for centres and links only, never for all pairs of a group.  ``sets_of(nodes)`` gives ``(node, s array<long>)``.
+    for centres and for links that connect, never for all pairs of a group.  ``sets_of(nodes)`` gives ``(node, s array<long>)``.
     """
     stars = written(shared.filter("u != node").select("u", F.col("node").alias("v")).distinct(), f"{name}-stars")
     links = written(compare(stars), f"{name}-links")
@@ -36,32 +37,30 @@ def link(shared: DataFrame, compare: Callable[[DataFrame], DataFrame], sets_of:
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
     left = written(labelled.join(mixed, "key"), f"{name}-mixed")
     sets = written(sets_of(left.select("node").distinct()), f"{name}-mixed-sets")
-    found = written(_held_against(left, sets, percent), f"{name}-rest")
-    pairs = found.distinct().join(stars, ["u", "v"], "left_anti")
-    return connected_components(links.unionByName(compare(pairs)), f"{name}-components").withColumnRenamed("id", "node")
+    more = written(_held_against(left, sets, percent), f"{name}-rest")
+    return connected_components(links.unionByName(more), f"{name}-components").withColumnRenamed("id", "node")
 
 
 #: Sets that a task holds at a time, besides the ones that are held against them.
 BLOCK = 2048
-#: The most similar candidates of each other component that a node names.
-BEST = 3
 
 
 def _held_against(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates ``(u, v)``, u < v, of different components in a key, from ``left(key, node, root)``."""
+    """Links ``(u, v)``, u < v, that connect the different components of a key, from ``left(key, node, root)``."""
     # A member that stands in one set only is no common member; a set whose rest is too small has no partner at all.
     members = sets.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     alone = members.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    short = F.transform("s", lambda x: F.shiftright(x, 32).cast("int"))
-    able = sets.join(alone, "node", "left").filter(100 * (F.size("s") - F.coalesce("alone", F.lit(0))) >= percent * F.size("s")).select("node", short.alias("s"))
+    able = sets.join(alone, "node", "left").filter(100 * (F.size("s") - F.coalesce("alone", F.lit(0))) >= percent * F.size("s")).select("node", "s")
     rows = written(left.join(able.select("node"), "node"), "linking-able")
     per_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     keys = per_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     placed = rows.join(keys.select("key", "main", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "key")
-    own = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "root", F.lit(False).alias("asks"))
-    asking = placed.filter("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", F.lit(True).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Held and asking sides are both cut into blocks, and each pair of blocks is a group of its own.
+    own = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), every.alias("side"), "node", "root", F.lit(False).alias("asks"))
+    asking = placed.filter("root != main").select("key", every.alias("block"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), "node", "root", F.lit(True).alias("asks"))
     full = own.unionByName(asking).join(able, "node")
-    return full.repartition("key", "block").sortWithinPartitions("key", "block", "asks").mapInArrow(_asked(percent), "u long, v long")
+    return full.repartition("key", "block", "side").sortWithinPartitions("key", "block", "side", "asks").mapInArrow(_asked(percent), "u long, v long")
 
 
 def _asked(percent: int):
@@ -76,18 +75,27 @@ def _asked(percent: int):
         order = np.argsort(which, kind="stable")
         of_set = np.repeat(np.arange(len(held)), sizes)[order]
         begin = np.searchsorted(which[order], np.arange(len(values) + 1))
+        # Components that are joined here already; a link within one tells nothing new.
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         out = []
         for _, own, own_root, _, s in asking:
             at, hit = found(values, s)
             at = at[hit]
             many = begin[at + 1] - begin[at]
             common = np.bincount(of_set[np.repeat(begin[at], many) + ragged(many)], minlength=len(held))
-            union = len(s) + sizes - common
-            # Members are 32 bits here, so a little less is enough; what is named is compared in full.
-            near = np.flatnonzero((root != own_root) & (100 * (common + 1) >= percent * union))
-            near = near[np.lexsort((-common[near] / union[near], root[near]))]
-            best = np.arange(len(near)) - np.searchsorted(root[near], root[near]) < BEST
-            out += [(min(own, other), max(own, other)) for other in node[near[best]].tolist()]
+            near = np.flatnonzero((root != own_root) & (100 * common >= percent * (len(s) + sizes - common)))
+            # One link to each component is enough.
+            for k in near[np.unique(root[near], return_index=True)[1]].tolist():
+                a, b = top(own_root), top(int(root[k]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((min(own, int(node[k])), max(own, int(node[k]))))
         return out
 
     def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -98,13 +106,13 @@ def _asked(percent: int):
         group: list[tuple] = []
         now = None
         for batch in batches:
-            key, block, node, root, asks = (batch.column(c).to_pylist() for c in ("key", "block", "node", "root", "asks"))
+            key, block, side, node, root, asks = (batch.column(c).to_pylist() for c in ("key", "block", "side", "node", "root", "asks"))
             s = batch.column("s")
             out: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                if (key[i], block[i]) != now:
+                if (key[i], block[i], side[i]) != now:
                     out += close(group)
-                    group, now = [], (key[i], block[i])
+                    group, now = [], (key[i], block[i], side[i])
                 group.append((key[i], node[i], root[i], asks[i], s[i].values.to_numpy()))
             yield batch_of(out)
         yield batch_of(close(group))

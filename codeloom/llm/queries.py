@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
