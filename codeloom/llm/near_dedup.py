@@ -209,8 +209,17 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+#: Where the stand-ins for missing ids begin.
+_STAND_IN = 1 << 62
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; where different texts share an id, one that stays keeps all."""
-    answers = near_dedup(docs, width, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter("not _kept").select("_gone")
-    rows = docs.select(F.struct("*").alias("row"), column(docs, "doc_id", "long"))
+    """The rows of ``docs`` that stay, with all their columns; where different texts share an id, one that stays keeps all.
+
+    Each text without an id is a document of its own with a stand-in from its hash, above all usual ids.
+    """
+    own, text = column(docs, "doc_id", "long"), F.coalesce(column(docs, "text", "string"), F.lit(""))
+    stand_in = F.coalesce(own, F.xxhash64(text).bitwiseAND(F.lit(_STAND_IN - 1)) + F.lit(_STAND_IN)).alias("doc_id")
+    answers = near_dedup(docs.select(stand_in, text.alias("text")), width, percent).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter("not _kept").select("_gone")
+    rows = docs.select(F.struct("*").alias("row"), stand_in)
     return rows.join(answers, F.col("doc_id") == F.col("_gone"), "left_anti").select("row.*")
