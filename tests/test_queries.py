@@ -4,10 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry
+from __spark_entry__ import ORACLES, QUERIES, entry
 from check import compare, connect
-from codeloom.plans.star_oracles import ORACLES
-from codeloom.plans.star_queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
