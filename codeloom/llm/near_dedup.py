@@ -119,7 +119,9 @@ def _keys(nodes: DataFrame) -> DataFrame:
                 keys = chunk_keys(sig)
                 yield pa.RecordBatch.from_arrays([_signed(keys.ravel()), pa.array(np.repeat(node[lo : lo + 4096], keys.shape[1]))], ["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    # A node is few bytes and many keys: dealt to as many tasks as a shuffle has, or a task's keys would fill its memory.
+    dealt = nodes.select("node", "sig").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    return dealt.mapInArrow(run, "key long, node long")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
