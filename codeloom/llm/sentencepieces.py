@@ -14,7 +14,7 @@ from codeloom.llm.store import column, documents
 from codeloom.llm.token_counts import Pretokens, Splitter
 
 #: Paths and pairs a worker remembers; when full it starts anew.
-CACHE, PAIRS = 500_000, 2_000_000
+CACHE, PAIRS = 200_000, 400_000
 MARK = "▁"
 
 _state: dict = {}
@@ -144,12 +144,12 @@ class Transducer:
             cache.clear()
         misses = sorted((self.normalise(p.text(i), bool(p.head[p.first[i]])), key) for i, key in enumerate(keys) if key not in cache)
         for (_, key), ids in zip(misses, self.shortest_paths([text for text, _ in misses])):
-            cache[key] = np.array(ids, np.int32)
+            cache[key] = np.array(ids, np.int32).tobytes()
         found = [cache[key] for key in keys]
-        sizes = np.array([len(x) for x in found], np.int64)
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
         if not len(sizes):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        flat, begins, each = np.concatenate(found), np.cumsum(sizes) - sizes, sizes[p.which]
+        flat, begins, each = np.frombuffer(b"".join(found), np.int32), np.cumsum(sizes) - sizes, sizes[p.which]
         return flat[np.repeat(begins[p.which], each) + ragged(each)], np.bincount(p.rows, each, len(offsets) - 1).astype(np.int64)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
