@@ -58,3 +58,19 @@ def test_registered():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_without_labels_documents_with_letters_stay(spark, docs):
+    rows = docs([(1, "some text", None, "a"), (2, "12 34", None, "a"), (3, None, None, "a"), (4, "ü", None, None), (4, "ü", None, None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, rows, "/nowhere").collect()) == [1, 4, 4]
+
+
+def test_near_copies_without_ids(spark, docs):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in (0, 59)]
+    rows = docs([(None, near[0], "aa", "a"), (None, near[1], "aa", "a"), (None, "quite another text of more than five words", "aa", "a")])
+    left = [r.text for r in corpus_pipeline.drop_near_copies(spark, rows, "/nowhere").collect()]
+    assert len(left) == 2 and sum(t in near for t in left) == 1
+    # A text with an id comes before one without.
+    rows = docs([(None, near[0], "aa", "a"), (8, near[1], "aa", "a")])
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows, "/nowhere").collect()] == [8]
