@@ -192,9 +192,9 @@ def train(docs: DataFrame) -> tuple[Automaton, DataFrame, DataFrame]:
     return Automaton(int(total), int(types), d, looked_up, counts.astype(np.int64), backs.astype(float), frequent, weights.astype(float), _bits(arcs.filter(F.col("n") < F.lit(ARC * total)))), states, arcs
 
 
-#: A part is a document's head, one of its rare tokens or one of its rare pairs.
-HEAD, TOKEN, PAIR = range(3)
-PARTS = "uid long, doc_id long, held_out boolean, kind byte, key long, n long, known long, base double, score double"
+#: A part is a rare token of a document (n times), a rare pair (-n times), or the document's head with all that is settled.
+PARTS = "uid long, key long, n long, head struct<doc_id: bigint, held_out: boolean, n: bigint, known: bigint, base: double, score: double>"
+_HEAD = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
 def seventh(docs: DataFrame):
@@ -216,20 +216,17 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(column(docs, "doc_id", "long"), held.alias("held_out"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     model, states, arcs = train(rows.filter(~F.col("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [x.split()[0] for x in PARTS.split(", ")]
+    names = ["uid", "key", "n", "head"]
 
-    def asked(kind, uid, row, keys):
+    def asked(sign, uid, row, keys):
         """One part for each document and key."""
         order = np.lexsort((keys, row))
         r, h = row[order], keys[order]
         first = np.ones(len(order), bool)
         first[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
         begin = np.flatnonzero(first)
-        k, zero = len(begin), np.zeros(len(begin))
         many = np.diff(np.append(begin, len(order)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(uid[r[begin]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(np.full(k, kind, np.int8)), _signed(h[begin]), pa.array(many), pa.array(np.zeros(k, np.int64)), pa.array(zero), pa.array(zero)], names
-        )
+        return pa.RecordBatch.from_arrays([pa.array(uid[r[begin]]), _signed(h[begin]), pa.array(sign * many), pa.nulls(len(begin), _HEAD)], names)
 
     def run(batches):
         m = shared.value
@@ -245,31 +242,32 @@ def score(docs: DataFrame) -> DataFrame:
                 weight += np.where(hit, m.unigram(c) + (m.backoff[at] if len(m.backoff) else 0.0), 0.0)
                 here = slice(lo, lo + n)
                 heads = [
-                    pa.array(uid[here]), ids.slice(lo, n), out.slice(lo, n), pa.array(np.full(n, HEAD, np.int8)), _signed(mix(uid[here].view(np.uint64) + np.uint64(77))), pa.array(np.bincount(row, minlength=n)),
-                    pa.array(np.bincount(row, sure, n).astype(np.int64)), pa.array(np.bincount(row, np.where(hit, m.base(c), 0.0), n)), pa.array(np.bincount(row, weight, n)),
+                    ids.slice(lo, n), out.slice(lo, n), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, sure, n).astype(np.int64)),
+                    pa.array(np.bincount(row, np.where(hit, m.base(c), 0.0), n)), pa.array(np.bincount(row, weight, n)),
                 ]
-                yield pa.RecordBatch.from_arrays(heads, names)
+                spread = _signed(mix(uid[here].view(np.uint64) + np.uint64(77)))
+                yield pa.RecordBatch.from_arrays([pa.array(uid[here]), spread, pa.array(np.zeros(n, np.int64)), pa.StructArray.from_arrays(heads, fields=list(_HEAD))], names)
                 rare = np.flatnonzero(~hit)
-                yield asked(TOKEN, uid[here], row[rare], hashes[rare])
-                yield asked(PAIR, uid[here], row[place], keys)
+                yield asked(1, uid[here], row[rare], hashes[rare])
+                yield asked(-1, uid[here], row[place], keys)
 
     parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, PARTS)
     # What is broadcast is not asked for.
-    told = states.filter(F.col("n") < F.lit(LOOKED_UP * model.n)).select("key", F.lit(TOKEN).cast("byte").alias("kind"), F.col("n").alias("c"), F.col("backoff").alias("w"))
-    told = told.unionByName(arcs.filter(F.col("n") < F.lit(ARC * model.n)).select("key", F.lit(PAIR).cast("byte").alias("kind"), F.col("n").alias("c"), F.col("weight").alias("w")))
-    head, pair = F.col("kind") == HEAD, F.col("kind") == PAIR
+    told = states.filter(F.col("n") < F.lit(LOOKED_UP * model.n)).select("key", F.lit(False).alias("pair"), F.col("n").alias("c"), F.col("backoff").alias("w"))
+    told = told.unionByName(arcs.filter(F.col("n") < F.lit(ARC * model.n)).select("key", F.lit(True).alias("pair"), F.col("n").alias("c"), F.col("weight").alias("w")))
+    head, pair = F.col("head").isNotNull(), F.col("n") < 0
     # A pair that is no arc adds nothing to its failure path.
-    joined = parts.join(told, ["key", "kind"], "left").filter(~pair | F.col("w").isNotNull())
+    joined = parts.withColumn("pair", pair).join(told, ["key", "pair"], "left").filter(~pair | F.col("w").isNotNull())
     c, w = F.coalesce("c", F.lit(0)), F.coalesce("w", F.lit(0.0))
     n, types, d = float(max(model.n, 1)), float(model.types), model.discount
     base = F.log10((c + 1) / F.lit(float(model.n + model.types + 1)))
     seen, unseen = F.log10((F.when(c > 0, c).otherwise(1) - F.lit(d)) / F.lit(n)), F.lit(float(np.log10(d * types / n)) if model.n else 0.0)
     own = F.when(c > 0, seen).otherwise(unseen) if model.n else F.lit(0.0)
     parts = joined.select(
-        "uid", F.when(head, F.struct("doc_id", "held_out", "n")).alias("first"),
-        F.when(head, F.col("known")).when(~pair & (c > 0), F.col("n")).otherwise(0).alias("known"),
-        F.when(head, F.col("base")).when(pair, 0.0).otherwise(F.col("n") * base).alias("base"),
-        F.when(head, F.col("score")).when(pair, F.col("n") * w).otherwise(F.col("n") * (own + w)).alias("score"),
+        "uid", "head.doc_id", "head.held_out", F.col("head.n").alias("n_tokens"),
+        F.when(head, F.col("head.known")).when(~pair & (c > 0), F.col("n")).otherwise(0).alias("known"),
+        F.when(head, F.col("head.base")).when(pair, 0.0).otherwise(F.col("n") * base).alias("base"),
+        F.when(head, F.col("head.score")).when(pair, -F.col("n") * w).otherwise(F.col("n") * (own + w)).alias("score"),
     )
-    summed = parts.groupBy("uid").agg(F.max("first.n").alias("n_tokens"), F.max("first.doc_id").alias("doc_id"), F.max("first.held_out").alias("held_out"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    summed = parts.groupBy("uid").agg(F.max("n_tokens").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
