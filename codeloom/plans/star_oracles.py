@@ -208,12 +208,6 @@ _SELECTS: dict[str, str] = {
         WHEN project IN (SELECT project FROM files) THEN '' ELSE 'failed to parse project: no packages found in ' || project END AS error
         FROM (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN '' ELSE 'r' || CAST(s_suppkey % 7 AS varchar) END AS project FROM supplier)""",
     "changed_files": "SELECT DISTINCT project, file_path FROM uses WHERE c_custkey % 10 = 0 OR c_custkey % 11 = 0",
-    "refresh_stale": """SELECT project, file_path, CASE min(rank) WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'quotes' END AS reason FROM (
-        SELECT project, file_path, CASE WHEN c_custkey % 13 = 0 THEN 0 ELSE 1 END AS rank FROM uses WHERE (c_custkey % 13 = 0) <> (c_custkey % 11 = 0)
-        UNION ALL SELECT project, file_path, 1 FROM decls WHERE kind_id = 3 AND k % 10 = 0
-        UNION ALL SELECT u.project, u.file_path, 2 FROM uses u JOIN decls d ON d.fq_name = u.fq_name AND d.project = u.project
-          WHERE d.kind_id = 3 AND d.k % 10 = 0 AND u.c_custkey % 13 <> 0)
-        WHERE project IN ('r0', 'r1', 'r2') GROUP BY project, file_path""",
     "extract_package_imports": "SELECT project, pkg_path, file_path, pkg_name AS package_name, imports FROM files",
     "extract_functions": """SELECT project, file_path, name, fq_name, comment_txt AS comment, 'a int,b int,s string' AS params, 'int,error' AS returns FROM decls WHERE kind_id = 2
         UNION ALL SELECT DISTINCT project, file_path, 'C' || CAST(c_custkey AS varchar), pkg_path || '.C' || CAST(c_custkey AS varchar), '', '', '' FROM uses""",
@@ -257,7 +251,5 @@ _SELECTS: dict[str, str] = {
         WHEN c % 9 = 0 THEN 'empty file' ELSE '' END AS error
         FROM files f LEFT JOIN (SELECT DISTINCT file_path AS path, c_custkey AS c FROM uses) u ON u.path = f.file_path""",
 }
-_SELECTS["refresh_context"] = f"""SELECT c.project, c.file_path, c.text FROM ({_SELECTS["extract_context"]}) c
-    WHERE c.file_path NOT IN (SELECT file_path FROM uses WHERE c_custkey % 13 = 0 AND project IN ('r0', 'r1', 'r2'))"""
 
 ORACLES: dict[str, str] = {name: f"WITH {STAR_CTES}, {_TEXTS} {select}" for name, select in _SELECTS.items()}
