@@ -6,7 +6,7 @@ works on small extracted arrays, so no shuffle ever carries file contents.
 Limits, as there is no type checker: formatted source is assumed (declarations at
 column 0, members one tab in); types of initialised variables are known for plain
 literals, composite literals, ``new`` and ``make``; computed constants other than plain
-forms of ``iota``, fields selected on values, dot imports and types defined as another struct's name
+forms of ``iota``, fields selected on values and dot imports
 need fact input or an ``external_symbols`` table.  Unknown stays '' or null.
 """
 
@@ -21,6 +21,7 @@ from codeloom.functions import constants as K
 from codeloom.functions import gotext as G
 from codeloom.functions.brackets import bound, flat, running, unflat
 from codeloom.operators.structs import struct_methods
+from codeloom.operators.type_defs import defined_interfaces, defined_structs, settle_definitions
 from codeloom.operators.uses import SYMBOL_KEY
 from codeloom.operators.values import settle_globals
 from codeloom.sources.corpus import error_of
@@ -180,6 +181,25 @@ def _type_bodies(parsed: DataFrame, kind: str) -> DataFrame:
     )
 
 
+# A whole entry that is a name and the name of another type.
+_DEFINED = r"^(\w++)\s*+(=?+)\s*+([A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)?+)\s*+$"
+
+
+def type_names(parsed: DataFrame) -> DataFrame:
+    """Types that are defined by another type's name: its full name in ``target``, and whether they are aliases of it.
+
+    Of predeclared types only the interfaces ``error`` and ``any`` are kept; a generic type with arguments is not followed.
+    """
+    bare = G.without_comments(F.col("text"))
+    rows = _specs(parsed, "type").withColumn("bare", F.when(bare.rlike(_DEFINED), bare)).filter("bare is not null").withColumn("tparams", F.array().cast("array<string>"))
+    name, equals, target = (F.regexp_extract("bare", _DEFINED, n) for n in (1, 2, 3))
+    out = rows.select(
+        *HEAD, "pos", F.concat_ws(".", "pkg_path", name).alias("name"), F.when(F.col("group_doc") != "", F.col("group_doc")).otherwise(F.col("spec_doc")).alias("comment"),
+        _qualified(target).alias("target"), (equals != "").alias("is_alias"),
+    )
+    return out.filter(F.col("target").contains(".") | F.col("target").isin("error", "any"))
+
+
 def structs(parsed: DataFrame) -> DataFrame:
     """Struct types with their fields; ``methods`` is filled by ``struct_methods``."""
     pattern = r"(?s)^(\w++(?:\s*+,\s*+\w++)*+)\s++(\S.*)$"
@@ -353,6 +373,13 @@ def facts_from_parsed(
         "decl_iface": interfaces(named),
     }
     kept = {name: keep(name, df) for name, df in tables.items()}
+    defs = keep("type_names", type_names(named))
+    if defs.limit(1).count():
+        told = (kept["decl_struct"], kept["decl_iface"], defs)
+        settled = settle_definitions(defs, *told[:2], keep)
+        more = struct_methods(normalise(defined_structs(settled, *told), "decl_struct"), methods(named), strict)
+        kept["decl_struct"] = kept["decl_struct"].unionByName(keep("defined_structs", normalise(more, "decl_struct")))
+        kept["decl_iface"] = kept["decl_iface"].unionByName(keep("defined_interfaces", normalise(defined_interfaces(settled, *told), "decl_iface")))
     types = kept["decl_struct"].select("project", "name").unionByName(kept["decl_iface"].select("project", "name"))
     settled = settle_globals(keep("open_globals", open_globals(named)), kept["decl_func"], types, keep)
     kept["decl_global"] = keep("decl_global", normalise(settled, "decl_global"))
