@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import gotext as G
 from codeloom.operators import extract as X
+from codeloom.plans.star_values import value_source
 from codeloom.sources.corpus import with_package_path
 from codeloom.sources.index_store import written
 from source_rows import SOURCE
@@ -34,3 +35,16 @@ def test_parsed_rows_lie_still_where_no_import_has_an_odd_name(spark):
         assert named.filter("size(aliases) = 1").count() == 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_files_with_deep_signatures_are_dealt_out(spark, tmp_path):
+    """The tables are small and the work on their text is not: the files lie in as many partitions as a shuffle has."""
+    tables = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(n, f"N{n}", n % 5) for n in range(25)]),
+        "part": ("p_partkey bigint, p_name string, p_brand string, p_size int", [(k, "x", "B", 1 + k % 50) for k in range(400)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    source = value_source(spark, str(tmp_path))
+    sizes = [r["n"] for r in source.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(sizes) == 400
