@@ -18,7 +18,7 @@ from codeloom.operators.requests import lookup_file, serve_requests, wanted_file
 from codeloom.operators.structs import dedupe_types, struct_methods
 from codeloom.plans import prompts as P
 from codeloom.plans.index import Index, extract
-from codeloom.plans.star import star_facts, star_methods, star_source, star_sql, star_structs
+from codeloom.plans.star import star_facts, star_methods, star_source, star_sql, star_structs, stored_facts
 from codeloom.schemas import FILE_KEY, func_struct, global_struct, iface_struct, normalise, struct_struct
 from codeloom.sources import corpus, export, index_store
 
@@ -53,7 +53,7 @@ def foreign_refs(spark, sf):
 
 
 def used_types(spark, sf):
-    return U.used_types(star_facts(spark, sf))
+    return U.used_types(stored_facts(spark, sf))
 
 
 def used_functions(spark, sf):
@@ -105,7 +105,7 @@ def format_interface(spark, sf):
 
 
 def compose_context(spark, sf):
-    return C.compose(star_facts(spark, sf))
+    return C.compose(stored_facts(spark, sf))
 
 
 def star_requests(spark, sf):
@@ -120,12 +120,12 @@ def lookup_file_(spark, sf):
 
 
 def serve_requests_(spark, sf):
-    facts, requests = star_facts(spark, sf), star_requests(spark, sf)
+    facts, requests = stored_facts(spark, sf), star_requests(spark, sf)
     return serve_requests(requests, C.compose(facts, wanted_files(requests, facts.go_file)), facts.go_file)
 
 
 def file_info(spark, sf):
-    rows = assemble_file_info(star_facts(spark, sf))
+    rows = assemble_file_info(stored_facts(spark, sf))
 
     def names(field: str) -> Column:
         return joined(F.col(f"info.{field}.Name"))
@@ -140,11 +140,11 @@ def file_info(spark, sf):
 
 def stored_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, as a document per project looks at it several times."""
-    return index_store.written(assemble_file_info(star_facts(spark, sf_dir)))
+    return index_store.written(assemble_file_info(stored_facts(spark, sf_dir)))
 
 
 def export_json(spark, sf):
-    return export.export_file_info_json(assemble_file_info(star_facts(spark, sf)))
+    return export.export_file_info_json(assemble_file_info(stored_facts(spark, sf)))
 
 
 def project_json(spark, sf):
@@ -156,7 +156,7 @@ def project_context_json(spark, sf):
 
 
 def project_report(spark, sf):
-    return export.render_project_report(assemble_file_info(star_facts(spark, sf)))
+    return export.render_project_report(assemble_file_info(stored_facts(spark, sf)))
 
 
 def package_nodes_(spark, sf):
@@ -174,7 +174,7 @@ def prompt_messages(spark, sf):
 
 
 def has_content(spark, sf):
-    return P.has_content(assemble_file_info(star_facts(spark, sf)))
+    return P.has_content(assemble_file_info(stored_facts(spark, sf)))
 
 
 def validate_args(spark, sf):
