@@ -53,7 +53,7 @@ def test_types_are_made_distinct_once(spark, tables):
 @pytest.mark.parametrize("name", ["project_json", "project_context_json", "prompt_messages"])
 def test_entries_of_a_document_lie_still(spark, tables, name):
     """Only the first path of each project, whose size is known, is sent; the entries are not shuffled for it."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")
     try:
         plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
     finally:
