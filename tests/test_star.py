@@ -3,7 +3,8 @@
 import pytest
 
 from codeloom.operators import compose as C
-from codeloom.operators.uses import used_types
+from codeloom.operators.resolve import resolve_uses
+from codeloom.operators.uses import used_globals, used_types
 from codeloom.plans.star import star_facts, star_sql, stored_facts
 from codeloom.plans.star_queries import QUERIES
 
@@ -59,3 +60,21 @@ def test_entries_of_a_document_lie_still(spark, tables, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin [project" in plan and "SortMergeJoin" not in plan
+
+
+def _exchanges(df) -> list[str]:
+    """The plan from the result down: its shuffles and its lists that are begun ahead of one."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line or "partial_collect_list" in line]
+
+
+@pytest.mark.parametrize("name", ["compose_context", "file_info", "project_report"])
+def test_rows_reach_their_file_as_they_are(spark, tables, name):
+    """Lists are begun behind the last shuffle: ahead of it, hardly two rows of a task are of one file."""
+    assert "partial_collect_list" in _exchanges(QUERIES[name](spark, tables))[0]
+
+
+def test_uses_are_shuffled_by_name_only(spark, tables):
+    """The grouping of repeated uses has no shuffle of its own ahead of the one that brings them to their declarations."""
+    facts = stored_facts(spark, tables)
+    for df in (resolve_uses(facts), used_globals(facts)):
+        assert not any("Exchange" in line and "ext_type" in line.split("REPARTITION")[0].split("ENSURE")[0] for line in _exchanges(df))
