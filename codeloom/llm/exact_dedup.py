@@ -36,7 +36,8 @@ class DigestIndex:
         """A new, empty index whose files lie at ``path`` (a new shared folder by default)."""
         name = name or f"digest_index_{uuid.uuid4().hex}"
         path = path or shared_folder(spark, "digest-index")
-        empty = spark.createDataFrame([], cls.KEYS)
+        # Made by the engine: an empty list from the driver would start Python workers on every executor, which then stay.
+        empty = spark.range(0).selectExpr(*(f"cast(null as {kind}) {key}" for key, kind in (k.split() for k in cls.KEYS.split(", "))))
         empty.write.format("parquet").bucketBy(buckets, "text_sha256").sortBy("text_sha256").option("path", path).saveAsTable(name)
         return cls(spark, name)
 

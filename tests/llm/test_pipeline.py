@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import queries
+from codeloom.llm import exact_dedup, queries, sentencepieces
 from codeloom.llm.store import written
 
 
@@ -74,3 +74,24 @@ def test_near_copies_without_ids(spark, docs):
     # A text with an id comes before one without.
     rows = docs([(None, near[0], "aa", "a"), (8, near[1], "aa", "a")])
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows, "/nowhere").collect()] == [8]
+
+
+def test_a_new_index_starts_no_python_workers(spark, monkeypatch):
+    """An empty list from the driver is turned into rows by Python workers, which then stay on every executor."""
+    def refuse(*_, **__):
+        raise AssertionError("made by Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    table = exact_dedup.DigestIndex.create(spark, buckets=4).table()
+    assert table.count() == 0 and table.dtypes == [("text_sha256", "string"), ("keep_id", "bigint"), ("n_points", "bigint"), ("group_size", "bigint")]
+
+
+def test_remembered_pairs_are_numbers():
+    """One number for a pair of arcs, also of those below zero: an arc before a fallback, and a fallback before an arc."""
+    with open(queries.tokenizer("piece_bpe_32k.model"), "rb") as f:
+        fst = sentencepieces.Transducer(f.read())
+    fst.shortest_paths(["▁the▁words", "▁a\U0010fffdb\U0010fffe\U0010fffd", "▁ü€the"])
+    assert fst.follows and all(type(key) is int for key in fst.follows)
+    arcs = [(((key + (1 << 31)) >> 32), ((key + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)) for key in fst.follows]
+    assert {min(a < 0, b < 0) for a, b in arcs} == {False, True}
+    assert all(fst.may_follow(a, b) == may for (a, b), may in zip(arcs, fst.follows.values()))
