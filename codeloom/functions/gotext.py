@@ -286,10 +286,10 @@ _UNNAMED = rf"\((?:(?!(?!{_WORDS})\w++ )[^,()]++(?:, (?!(?!{_WORDS})\w++ )[^,()]
 _NAMELESS = rf"[(,] ?+(?!(?!{_WORDS})\w++ )"
 
 
-def _shared_types(text: Column, other: Column) -> Column:
-    """``expand_func_types`` of formatted text by patterns, ``other`` where they don't tell all of its lists."""
-    done = lambda t: F.when(~F.regexp_replace(t, _UNNAMED, "").rlike(_NAMELESS), t).otherwise(other)
-    return F.when(~text.rlike(_UNEVEN) & text.rlike(_EVEN), bound(F.regexp_replace(text, _SHARED, "$1 $2"), done)).otherwise(other)
+def _shared_types(text: Column) -> Column:
+    """``expand_func_types`` of formatted text by patterns, null where they don't tell all of its lists."""
+    done = lambda t: F.when(~F.regexp_replace(t, _UNNAMED, "").rlike(_NAMELESS), t)
+    return F.when(~text.rlike(_UNEVEN) & text.rlike(_EVEN), bound(F.regexp_replace(text, _SHARED, "$1 $2"), done))
 
 
 def _put_back(text: Column, lists: Column) -> Column:
@@ -350,7 +350,7 @@ def expand_func_types(type_text: Column) -> Column:
 
     def whole(text: Column) -> Column:
         tokens = find_all(text, r"[^()]*+[()]|[^()]++")
-        return F.when(text.rlike(r"\bfunc\(|\binterface ?\{ *[^} ]"), _shared_types(text, F.aggregate(tokens, start, step, finish))).otherwise(text)
+        return F.when(text.rlike(r"\bfunc\(|\binterface ?\{ *[^} ]"), F.coalesce(_shared_types(text), F.aggregate(tokens, start, step, finish))).otherwise(text)
 
     return bound(type_text, whole)
 
